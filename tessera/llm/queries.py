@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, line_dedup, packing, pii, simhash
+from tessera.llm import bpe, ctw, langid, line_dedup, packing, pii, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,14 @@ def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.scores(table(spark, sf_dir, "documents"))
+
+
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.languages(table(spark, sf_dir, "documents"))
+
+
 def pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.spans(table(spark, sf_dir, "documents"))
 
@@ -46,7 +54,9 @@ def line_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": best_fit_packing,
+    "op2_lm_scoring": lm_scoring,
     "op4_pii": pii_spans,
+    "op6_language_id": language_id,
     "op7_simhash_near_dedup": simhash_near_dedup,
     "op8_byte_bpe": byte_bpe,
     "op10_line_dedup": line_dedup_query,
