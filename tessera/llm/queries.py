@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, ctw, langid, line_dedup, packing, pii, simhash
+from tessera.llm import ann, bpe, ctw, langid, line_dedup, packing, pii, revisits, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,16 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.languages(table(spark, sf_dir, "documents"))
 
 
+def nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = revisits.resolve(revisits.captures(table(spark, sf_dir, "pages")))
+    headers = F.array_join(F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";")
+    return found.select("record_id", "canonical_url", "time", "source_id", "outcome", "status", headers.alias("headers"), F.sha2("payload", 256).alias("payload_sha256"))
+
+
 def pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.spans(table(spark, sf_dir, "documents"))
 
@@ -55,15 +65,18 @@ def line_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": best_fit_packing,
     "op2_lm_scoring": lm_scoring,
+    "op3_nearest_neighbours": nearest_neighbours,
     "op4_pii": pii_spans,
     "op6_language_id": language_id,
     "op7_simhash_near_dedup": simhash_near_dedup,
     "op8_byte_bpe": byte_bpe,
+    "op9_warc_revisits": warc_revisits,
     "op10_line_dedup": line_dedup_query,
 }
 
 #: DuckDB SQL where SQL can express the query; the others are tested against brute force in tests/llm.
 ORACLES: dict[str, str] = {
+    "op9_warc_revisits": revisits.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE.format(documents="documents")
     + "SELECT doc_id, n_lines, n_removed, sha256(text) AS text_sha256 FROM cleaned",
 }
