@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, bpe, ctw, langid, line_dedup, packing, pii, revisits, simhash
+from tessera.llm import ann, bpe, ctw, images, langid, line_dedup, packing, pii, revisits, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,12 @@ def warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("record_id", "canonical_url", "time", "source_id", "outcome", "status", headers.alias("headers"), F.sha2("payload", 256).alias("payload_sha256"))
 
 
+def image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No table has images, so one is drawn for every row of embeddings; each four ids in a row are copies."""
+    found = images.copies(images.rendered(table(spark, sf_dir, "embeddings"), "vec_id"))
+    return found.withColumnRenamed("id", "vec_id")
+
+
 def pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.spans(table(spark, sf_dir, "documents"))
 
@@ -67,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_lm_scoring": lm_scoring,
     "op3_nearest_neighbours": nearest_neighbours,
     "op4_pii": pii_spans,
+    "op5_image_copies": image_copies,
     "op6_language_id": language_id,
     "op7_simhash_near_dedup": simhash_near_dedup,
     "op8_byte_bpe": byte_bpe,
