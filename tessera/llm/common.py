@@ -81,3 +81,20 @@ def components(edges: DataFrame) -> DataFrame:
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
+
+
+class Memory:
+    """A bounded map in two generations: what was used since the last turn survives the next one."""
+
+    def __init__(self, size: int):
+        self.size, self.new, self.old = size, {}, {}
+
+    def get(self, key):
+        value = self.old.get(key)
+        if value is not None:
+            self.new[key] = value
+        return value
+
+    def turn(self) -> None:
+        if len(self.new) > self.size:
+            self.new, self.old = {}, self.new
