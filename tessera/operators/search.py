@@ -216,8 +216,9 @@ def neighbours(keys: DataFrame, probes: DataFrame) -> DataFrame:
     ends = both.groupBy("bucket").agg(F.max(known).alias("last"), F.min(known).alias("first"))  # one row per range
     left, right = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy("bucket").rowsBetween(1, Window.unboundedFollowing)
     ends = ends.select("bucket", F.max("last").over(left).alias("before"), F.min("first").over(right).alias("after"))
-    near = Window.partitionBy("bucket").orderBy("key")
-    both = both.withColumns({"low": F.max(known).over(near.rowsBetween(Window.unboundedPreceding, -1)), "high": F.min(known).over(near.rowsBetween(1, Window.unboundedFollowing))})
+    # each frame grows from its start; one that ends at the partition's end would be summed anew for every row
+    up, down = (Window.partitionBy("bucket").orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in ("key", F.desc("key")))
+    both = both.withColumns({"low": F.max(known).over(up), "high": F.min(known).over(down)})
     return both.where("asked = 0").join(F.broadcast(ends), "bucket").select("key", F.coalesce("low", "before").alias("predecessor"), F.coalesce("high", "after").alias("successor"))
 
 
