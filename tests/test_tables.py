@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import registry, vectors
-from tessera.operators import bags, grid, models, select
+from tessera.operators import bags, grid, models, select, slides
 from tessera.operators import relational as rel
 from tessera.operators import task_metrics as tm
 from tessera.sources import results, tables
@@ -243,3 +243,47 @@ def test_models(spark):
     assert all(abs(sum(r.probs) - 1) < 1e-9 for r in models.probabilities(model, rows).collect())
     line = rows.drop("label").withColumnRenamed("y", "label")
     assert models.evaluate(models.fit("linear_regression", line), line, "regression").first().r2 > 0.99
+
+
+def test_targets(spark):
+    rows = spark.createDataFrame([("2", 1.5, 1)], "category string, survival_time double, event int")
+    assert slides.with_target(rows, "classification").first().target == 2
+    assert tuple(slides.with_target(rows, "survival").first().target) == (1.5, 1)
+    with pytest.raises(Exception, match="CAST"):
+        slides.with_target(rows.withColumn("category", F.lit("x")), "classification").collect()
+    mpp = slides.base_mpp(spark.createDataFrame([("a", "0", "0.5"), ("b", "0.25", None), ("c", "x", "-1")], "slide string, slide_mpp string, fallback_mpp string"))
+    assert [r.mpp for r in mpp.orderBy("slide").collect()] == [0.5, 0.25, None]
+    allowed = spark.createDataFrame([(0.5, 0.5), (0.4995, 0.5), (0.4, 0.5), (1.0, 0.5)], "r double, o double").select(slides.resolution_allowed(F.col("r"), F.col("o")).alias("a"))
+    assert [r.a for r in allowed.collect()] == [True, True, False, True]
+
+
+def test_geometry(spark):
+    grid_ = slides.tile_grid(spark.createDataFrame([("s", 700, 520), ("t", 100, 900)], "slide string, width int, height int"), 256)
+    assert [(r.tile_idx, r.x0, r.y0) for r in grid_.orderBy("tile_idx").collect()] == [(0, 0, 0), (1, 256, 0), (2, 0, 256), (3, 256, 256)]
+    runs = slides.merged_runs(grid_.withColumn("g", F.lit(1)).where("tile_idx <> 2"), "g", 256)
+    assert sorted((r.y0, r.x0, r.x1) for r in runs.collect()) == [(0, 0, 512), (256, 256, 512)]
+    px = slides.to_pixels(grid_.withColumns({"read_w": F.lit(256), "read_h": F.lit(1)}), 32, 32).where("tile_idx = 1").first()
+    assert (px.px, px.py, px.pw, px.ph) == (8, 0, 8, 1)
+    one = slides.blurred(spark.createDataFrame([("s", 5, 5, 1.0)], "slide string, px int, py int, score double"), 1.0).toPandas()
+    assert np.isclose(one.score.sum(), 1) and one.loc[one.score.idxmax(), ["px", "py"]].tolist() == [5, 5]
+    rgb = slides.mean_rgb(spark.createDataFrame([("s", 0, 255, 0, 51), ("s", 0, 0, 0, 51)], "slide string, tile_idx int, r int, g int, b int")).first()
+    assert rgb.vec == [0.5, 0.0, 0.2]
+
+
+@pytest.mark.parametrize("text", ['["a", "exclude"]', '{"0": "a", "1": "exclude"}', '[{"id": 1, "label": "exclude"}, {"id": 0, "label": "a"}]'])
+def test_prototype_labels(spark, text):
+    rows = spark.createDataFrame([(text,)], "value string")
+    assert [tuple(r) for r in slides.prototype_labels(rows, 2).orderBy("proto").collect()] == [(0, "a"), (1, "exclude")]
+    with pytest.raises(Exception, match="prototype 2"):
+        slides.prototype_labels(rows, 3).collect()
+
+
+def test_rows(spark):
+    nested = spark.createDataFrame([((1, ("x",)), [1, 2])], "a struct<b: int, c: struct<d: string>>, e array<int>")
+    flat = slides.flattened(nested)
+    assert flat.columns == ["a.b", "a.c.d", "e"] and tuple(flat.first()) == (1, "x", "[1,2]")
+    runs = spark.createDataFrame([(0, {"px": "256"})], "run_index int, params map<string,string>")
+    assert slides.summary_rows(runs, ["px", "mpp"], task="mil").first().asDict() == {"run_index": 0, "px": "256", "mpp": None, "task": "mil"}
+    work = slides.work_records(grid.product(spark, {"a": [1, 2]}), spark.createDataFrame([("f1",), ("f0",)], "work_id string"))
+    assert [(r.work_id, r.dependencies) for r in work.orderBy("work_id").collect()] == [("benchmark-00000", ["f0", "f1"]), ("benchmark-00001", ["f0", "f1"])]
+    assert slides.subset(runs, None) is runs
