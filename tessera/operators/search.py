@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 
 #: Queries in one broadcast chunk.
 QUERIES = 4096
+#: Query bags in one broadcast chunk of tile matching.
+BAGS = 512
+MATCHES = "query_id string, tile int, kind string, label string, weight double, sample_id string, position int, similarity double"
 #: Reference tiles that may be broadcast as one key index.
 INDEX_ROWS = 2_000_000
 
@@ -134,22 +137,33 @@ def class_weights(labels: DataFrame, label: str = "category", factor: float = 10
     return counts.join(F.broadcast(total)).select("label", (F.lit(factor) / F.col("n") / F.col("total")).alias("weight"))
 
 
-def tile_matches(queries: DataFrame, refs: DataFrame, weights: dict[str, float], threshold: float = 0.7, top: int = 5) -> DataFrame:
+def tile_matches(queries: DataFrame, refs: DataFrame, weights: dict[str, float], threshold: float = 0.7, top: int = 5, chunk: int = BAGS) -> DataFrame:
     """For each query tile the matches of cosine >= threshold: (query_id, tile, label, weight) sums and the top matches.
 
     queries and refs: sample_id, exclusion_key, category, vecs. Returns query_id, tile, kind ("label" or "match"), label,
     weight, sample_id, position, similarity. Only the top matches of a task leave it; the weights leave it summed.
     """
-    rows = queries.select("sample_id", "exclusion_key", "vecs").collect()
-    unit = lambda x: x / (np.sqrt((x**2).sum(-1, keepdims=True)) + 1e-12)
-    shared = queries.sparkSession.sparkContext.broadcast([(r.sample_id, r.exclusion_key, unit(np.array(r.vecs, np.float64))) for r in rows])
+    parts = max(1, -(-queries.count() // chunk))
+    found = None
+    for number in range(parts):
+        rows = queries.where(F.pmod(F.xxhash64("sample_id"), F.lit(parts)) == number).select("sample_id", "exclusion_key", "vecs").collect()
+        shared = queries.sparkSession.sparkContext.broadcast([(r.sample_id, r.exclusion_key, _unit(np.array(r.vecs, np.float64))) for r in rows])
+        part = refs.select("sample_id", "exclusion_key", "category", "vecs").mapInArrow(_matched(shared, weights, threshold, top), MATCHES)
+        found = part if found is None else found.unionByName(part)
+    return found
+
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / (np.sqrt((x**2).sum(-1, keepdims=True)) + 1e-12)
+
+
+def _matched(shared, weights: dict[str, float], threshold: float, top: int) -> Callable:
     def run(batches):
         sums: dict[tuple[str, int, str | None], float] = {}
         best: dict[tuple[str, int], list] = {}
         for batch in batches:
             for ref, key, label, vecs in zip(*(batch.column(c).to_pylist() for c in ("sample_id", "exclusion_key", "category", "vecs")), strict=True):
-                x = unit(np.array(vecs, np.float64))
+                x = _unit(np.array(vecs, np.float64))
                 for query, own, tiles in shared.value:
                     if ref == query or own is not None and own == key:
                         continue
@@ -164,8 +178,7 @@ def tile_matches(queries: DataFrame, refs: DataFrame, weights: dict[str, float],
         names = ["query_id", "tile", "kind", "label", "weight", "sample_id", "position", "similarity"]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=names)
 
-    schema = "query_id string, tile int, kind string, label string, weight double, sample_id string, position int, similarity double"
-    return refs.select("sample_id", "exclusion_key", "category", "vecs").mapInArrow(run, schema)
+    return run
 
 
 def entropies(matches: DataFrame) -> DataFrame:
