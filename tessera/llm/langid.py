@@ -10,16 +10,14 @@ are alike. The shortest code wins.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import grams
-from tessera.llm.common import arrow_batches, materialize
+from tessera.llm.common import arrow_batches, materialize, unused
 
 ORDER = 4
 #: Labelled texts of each language that the trees are counted on.
@@ -154,8 +152,8 @@ def with_language(df: DataFrame, model: Model, text: str = "text", out: str = "l
         langs, scores = _decide(shared.value, texts.where(texts.notna(), None).tolist())
         return pd.DataFrame({out: pd.Series(langs, dtype=object), score: pd.Series(scores, dtype=float)})
 
-    there = df.withColumn("_decided", decided(F.col(text)))
-    return there.select(*df.columns, f"_decided.{out}", f"_decided.{score}")
+    held = unused(df, "decided")
+    return df.withColumn(held, decided(F.col(text))).select(*df.columns, f"{held}.{out}", f"{held}.{score}")
 
 
 def held_out(doc_id: str = "doc_id"):
