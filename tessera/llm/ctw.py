@@ -14,11 +14,13 @@ parts add up. Word counts for the base score are cut likewise.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +28,10 @@ from tessera.llm import grams
 from tessera.llm.common import arrow_batches, materialize, row_key, shuffle_partitions, union_all
 
 ORDER = 5
-#: Entries of the model, and words, that are sent to the executors for one pass; what is broadcast is below 24 bytes each.
-SHARD = 4_000_000
+#: Entries of the model, and words, that are sent to the executors for one pass; what is broadcast is 16 bytes each.
+SHARD = 2_000_000
+#: Parts that the model and the words are written in; a shard takes whole ones.
+BUCKETS = 512
 
 
 def log2_gamma(x: np.ndarray) -> np.ndarray:
@@ -147,10 +151,44 @@ def path_bits(context: np.ndarray, symbol: np.ndarray, order: int, top: Top, dee
     return total
 
 
-def shard_of(context: np.ndarray, order: int, shards: int) -> np.ndarray:
-    """Shard of a context by its two newest bytes."""
-    newest = context >> np.uint64(8 * (order - 2))
-    return (newest * np.uint64(2654435761) >> np.uint64(7)) % np.uint64(shards)
+def _buckets() -> np.ndarray:
+    """Bucket of each pair of newest context bytes."""
+    return (np.arange(1 << 16, dtype=np.uint64) * np.uint64(2654435761) >> np.uint64(7)).astype(np.int64) % BUCKETS
+
+
+def _squeezed(values: np.ndarray) -> bytes:
+    """Numbers as compressed bytes, first bytes first."""
+    return zlib.compress(values.view(np.uint8).reshape(len(values), -1).T.tobytes(), 1) if values.size else b""
+
+
+def _opened(parts: list[bytes], sizes: list[int], kind) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    found = [np.ascontiguousarray(np.frombuffer(zlib.decompress(p), np.uint8).reshape(width, n).T).view(kind)[:, 0] for p, n in zip(parts, sizes, strict=True)]
+    return np.concatenate([*found, np.empty(0, kind)])
+
+
+def _packed(key: np.ndarray, bucket: np.ndarray, columns: list[np.ndarray], lead: list) -> Iterator[pa.RecordBatch]:
+    """One row per bucket: lead, bucket, size, and the entries in the order of their keys; keys as differences."""
+    order = np.lexsort((key, bucket))
+    bucket, key = bucket[order], key[order]
+    columns = [c[order] for c in columns]
+    first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else np.empty(0, np.int64)
+    for low in range(0, len(first), 64):
+        ends = [*first[low + 1 : low + 65].tolist(), len(bucket)][: len(first[low : low + 64])]
+        spans = list(zip(first[low : low + 64].tolist(), ends, strict=True))
+        gaps = pa.array([_squeezed(np.diff(key[a:b], prepend=np.uint64(0))) for a, b in spans], pa.binary())
+        values = [pa.array([_squeezed(c[a:b]) for a, b in spans], pa.binary()) for c in columns]
+        heads = [pa.array([x] * len(spans), pa.int32()) for x in lead]
+        arrays = [*heads, pa.array([int(bucket[a]) for a, _ in spans], pa.int32()), pa.array([b - a for a, b in spans], pa.int64()), gaps, *values]
+        yield pa.RecordBatch.from_arrays(arrays, names=[f"c{n}" for n in range(len(arrays))])
+
+
+def _keys(parts: list[bytes], sizes: list[int]) -> np.ndarray:
+    """The keys of the parts, one after the other, from their differences."""
+    found = _opened(parts, sizes, np.uint64)
+    for low, n in zip(np.cumsum([0, *sizes[:-1]]).tolist() if sizes else [], sizes, strict=True):
+        np.cumsum(found[low : low + n], out=found[low : low + n])
+    return found
 
 
 def _gather(batches: Iterator[pa.RecordBatch], order: int):
@@ -163,58 +201,73 @@ def _gather(batches: Iterator[pa.RecordBatch], order: int):
 
 
 class Shard:
-    """What a pass needs: grams with their code, the deep nodes for grams not seen, and words with their counts."""
+    """What a pass needs: grams with their code, the deep nodes for grams not seen, and words with their counts.
+
+    It travels as compressed bytes; each worker opens it and builds its tables once.
+    """
 
     def __init__(self, rows: pa.Table, words: pa.Table | None, order: int, top: Top, number: int, shards: int, word_shards: int):
-        depth, key = rows.column("depth").to_numpy(), rows.column("key").to_numpy().view(np.uint64)
-        a, b = rows.column("a").to_numpy(), rows.column("b").to_numpy()
         self.order, self.top, self.number, self.shards, self.word_shards = order, top, number, shards, word_shards
-        self.parts = {}
+        self.raw = {}
         for d in range(2, order + 2):
-            at = np.flatnonzero(depth == d)
-            at = at[np.argsort(key[at])]
-            self.parts[d] = key[at], a[at], b[at]
-        self.words = None
-        if words is not None:
-            key = words.column("key").to_numpy().view(np.uint64)
-            rank = np.argsort(key)
-            self.words = key[rank], words.column("n").to_numpy()[rank]
-
-    def tables(self):
-        if not hasattr(self, "_tables"):
-            self._tables = {d: grams.KeyTable(p[0]) for d, p in self.parts.items()}
-            self._word_table = grams.KeyTable(self.words[0]) if self.words is not None else None
-        return self._tables, self._word_table
+            own = rows.filter(pc.equal(rows.column("depth"), d))
+            self.raw[d] = tuple(own.column(c).to_pylist() for c in ("size", "key", "a", "b"))
+        self.raw_words = None if words is None else tuple(words.column(c).to_pylist() for c in ("size", "key", "n"))
+
+    def open(self) -> None:
+        if hasattr(self, "tables"):
+            return
+        self.parts, self.tables = {}, {}
+        for d in sorted(self.raw):
+            sizes, key, a, b = self.raw.pop(d)
+            key = _keys(key, sizes)
+            rank = np.argsort(key, kind="stable")
+            self.parts[d] = key[rank], _opened(a, sizes, np.float32)[rank], _opened(b, sizes, np.float32)[rank] if d <= self.order else None
+            self.tables[d] = grams.KeyTable(self.parts[d][0])
+        self.mine = _buckets() % self.shards == self.number
+        if self.raw_words is not None:
+            sizes, key, n = self.raw_words
+            key = _keys(key, sizes)
+            rank = np.argsort(key, kind="stable")
+            self.words = key[rank], _opened(n, sizes, np.int64)[rank]
+            self.word_table = grams.KeyTable(self.words[0])
+        self.raw = self.raw_words = None
 
     def bits(self, keys: np.ndarray) -> np.ndarray:
         """log2 probabilities of grams; 0 for those of other shards."""
-        tables, _ = self.tables()
-        row = tables[self.order + 1].find(keys)
-        out = self.parts[self.order + 1][1][row].astype(np.float64) if len(self.parts[self.order + 1][0]) else np.zeros(len(keys))
+        if self.shards == 1:
+            return self._bits(keys)
+        out = np.zeros(len(keys))
+        newest = (keys >> np.uint64(8)) & np.uint64(255)
+        newest = (newest << np.uint64(8) | (keys >> np.uint64(16)) & np.uint64(255)).astype(np.int64)
+        at = np.flatnonzero(self.mine[newest])
+        out[at] = self._bits(keys[at])
+        return out
+
+    def _bits(self, keys: np.ndarray) -> np.ndarray:
+        row = self.tables[self.order + 1].find(keys)
+        codes = self.parts[self.order + 1][1]
+        out = codes[row].astype(np.float64) if len(codes) else np.zeros(len(keys))
         new = np.flatnonzero(row < 0)
         if len(new):
             fresh, back = np.unique(keys[new], return_inverse=True)
-            context, symbol = tree_keys(fresh, self.order)
-            mine = shard_of(context, self.order, self.shards) == self.number
 
             def deep(depth, at):
                 _, estimate, weight = self.parts[depth]
-                row = tables[depth].find(at)
+                row = self.tables[depth].find(at)
                 return (row >= 0, estimate[row], weight[row]) if len(estimate) else (row >= 0, 0.5, 1.0)
 
-            code = np.zeros(len(fresh))
-            code[mine] = path_bits(context[mine], symbol[mine], self.order, self.top, deep)
-            out[new] = code[back]
+            out[new] = path_bits(*tree_keys(fresh, self.order), self.order, self.top, deep)[back]
         return out
 
     def word_logs(self, laid: grams.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """By text: words and end, those of them that training has, and the sum of log10(count + 0.5); of this shard only."""
-        _, table = self.tables()
         hashes, of = laid.words()
         hashes, of = np.concatenate((hashes, np.full(laid.count, grams.END_WORD))), np.concatenate((of, np.arange(laid.count)))
-        mine = np.mod(hashes.view(np.int64), self.word_shards) == self.number
-        hashes, of = hashes[mine], of[mine]
-        row = table.find(hashes)
+        if self.word_shards > 1:
+            mine = (hashes % np.uint64(BUCKETS)).astype(np.int64) % self.word_shards == self.number
+            hashes, of = hashes[mine], of[mine]
+        row = self.word_table.find(hashes)
         n = np.where(row >= 0, self.words[1][row], 0) if len(self.words[1]) else np.zeros(len(hashes))
         return np.bincount(of, minlength=laid.count), np.bincount(of, row >= 0, laid.count), np.bincount(of, np.log10(n + 0.5), laid.count)
 
@@ -222,11 +275,14 @@ class Shard:
 def _score(df: DataFrame, shard: Shard) -> DataFrame:
     """df (doc_id, k1, k2, held_out, text) with this shard's parts in place of the text."""
     shared = df.sparkSession.sparkContext.broadcast(shard)
+    del shard
     kept = [c for c in df.columns if c != "text"]
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept) + ", words long, known long, logs double, bits double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
+        model.open()
+        counts_words = hasattr(model, "words")
         for batch in batches:
             texts = [grams.lowered(t, "ascii") for t in batch.column("text").to_pylist()]
             words, known, logs, bits = [], [], [], []
@@ -239,7 +295,7 @@ def _score(df: DataFrame, shard: Shard) -> DataFrame:
                     at += 1
                 laid = grams.Texts(held, model.order)
                 bits.append(np.add.reduceat(model.bits(laid.keys()), laid.bounds()))
-                for out, x in zip((words, known, logs), model.word_logs(laid) if model.words is not None else [np.zeros(laid.count)] * 3, strict=True):
+                for out, x in zip((words, known, logs), model.word_logs(laid) if counts_words else [np.zeros(laid.count)] * 3, strict=True):
                     out.append(x)
             values = [np.concatenate([*x, np.empty(0)]) for x in (words, known, logs, bits)]
             columns = [batch.column(c) for c in kept] + [pa.array(v.astype(np.int64) if i < 2 else v) for i, v in enumerate(values)]
@@ -295,24 +351,31 @@ def scores(df: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int
                 row = tables[depth].find(at)
                 return row >= 0, estimates[depth][row], nodes[depth].weight[row]
 
+            buckets = _buckets()
+            bucket = lambda where: buckets[(where >> np.uint64(8 * (order - 2))).astype(np.int64)]
             bits = path_bits(context, symbol, order, top, deep)
-            out = [(order + 1, keys, context, bits, bits)]
-            out += [(d, x.keys, x.keys >> np.uint64(8) << np.uint64(8 * (order - d)), estimates[d], x.weight) for d, x in nodes.items()]
-            for depth, key, where, a, b in out:
-                for at in range(0, len(key), 100_000):
-                    own = slice(at, at + 100_000)
-                    newest = (where[own] >> np.uint64(8 * (order - 2))).astype(np.int32)
-                    columns = [pa.array(np.full(len(newest), depth, np.int8)), pa.array(newest), pa.array(key[own].view(np.int64)), pa.array(a[own].astype(np.float32)), pa.array(b[own].astype(np.float32))]
-                    yield pa.RecordBatch.from_arrays(columns, names=["depth", "newest", "key", "a", "b"])
-
-    entries = materialize(counted.mapInArrow(model, "depth byte, newest int, key long, a float, b float"), "nodes")
-    shards, word_shards = max(1, -(-entries.count() // shard)), max(1, -(-vocabulary // shard))
-    own_shard = (F.shiftright(F.col("newest").cast("long") * 2654435761, 7)) % shards
+            yield from _packed(keys, bucket(context), [bits.astype(np.float32), np.empty((len(keys), 0), np.float32)], [order + 1])
+            for d, x in nodes.items():
+                where = x.keys >> np.uint64(8) << np.uint64(8 * (order - d))
+                yield from _packed(x.keys, bucket(where), [estimates[d].astype(np.float32), x.weight.astype(np.float32)], [d])
+
+    def packed_words(batches):
+        for batch in batches:
+            key = batch.column("key").to_numpy().view(np.uint64)
+            yield from _packed(key, (key % np.uint64(BUCKETS)).astype(np.int64), [batch.column("n").to_numpy()], [])
+
+    entries = materialize(counted.mapInArrow(model, "depth int, bucket int, size long, key binary, a binary, b binary"), "nodes")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "200000")
+    words = materialize(words.mapInArrow(packed_words, "bucket int, size long, key binary, n binary"), "words")
+    arrow_batches(spark)
+    size = entries.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    shards, word_shards = (min(BUCKETS, max(1, -(-n // shard))) for n in (size, vocabulary))
     parts = []
     for number in range(max(shards, word_shards)):
-        own = entries.where(own_shard == number) if number < shards else entries.limit(0)
-        own_words = words.where(F.pmod("key", F.lit(word_shards)) == number).toArrow() if number < word_shards else None
-        parts.append(_score(rows, Shard(own.select("depth", "key", "a", "b").toArrow(), own_words, order, top, number, shards, word_shards)))
+        own = entries.where(F.col("bucket") % shards == number) if number < shards else entries.limit(0)
+        own_words = words.where(F.col("bucket") % word_shards == number).toArrow() if number < word_shards else None
+        parts.append(_score(rows, Shard(own.select("depth", "size", "key", "a", "b").toArrow(), own_words, order, top, number, shards, word_shards)))
+        pa.default_memory_pool().release_unused()
     if len(parts) == 1:
         whole = parts[0]
     else:  # rows that are equal get equal parts, so their sums are divided by how many there are

@@ -14,7 +14,7 @@ from tessera.llm.common import arrow_batches
 #: Bytes that never occur in UTF-8: what stands before a text, and the symbol that ends it.
 BEFORE, END = 0xFE, 0xFF
 #: Bytes of text that are turned into keys at once.
-AT_ONCE = 1 << 22
+AT_ONCE = 1 << 21
 
 
 class Texts:
