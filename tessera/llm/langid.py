@@ -24,6 +24,12 @@ ORDER = 4
 SAMPLE = 2000
 UNDETERMINED = "und"
 LETTER = re.compile(r"[^\W\d_]")
+#: Held-out labelled texts of each language that the limit of code lengths is fitted on.
+LIMIT_SAMPLE = 500
+#: The limit is SLACK times the 99.9th percentile of their bits per byte, within these bounds (8: no better than no model).
+SLACK, LEAST_LIMIT, MOST_LIMIT = 1.5, 6.0, 8.0
+#: Bytes that are added to each text's own, as the first bytes and very short texts cost more.
+START = 32
 _SPREAD = 1 << 30
 
 
@@ -118,8 +124,8 @@ def train(labelled: DataFrame, order: int = ORDER) -> Model:
     return Model(languages, order, gram_keys, gram_bits, context_keys, context_bits)
 
 
-def _decide(model: Model, texts: list[str | None]) -> tuple[list[str], list[float]]:
-    langs, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
+def _lengths(model: Model, texts: list[str | None]):
+    """(positions, bytes, code lengths) of the texts that have a letter, as many at once as fit."""
     known = [i for i, t in enumerate(texts) if t and model.languages and LETTER.search(t)]
     at = 0
     while at < len(known):
@@ -128,19 +134,47 @@ def _decide(model: Model, texts: list[str | None]) -> tuple[list[str], list[floa
             held.append(known[at])
             size += len(texts[known[at]])
             at += 1
-        lengths = model.code_lengths([grams.lowered(texts[i], "all") for i in held])
+        data = [grams.lowered(texts[i], "all") for i in held]
+        yield held, np.array([len(x) for x in data]), model.code_lengths(data)
+
+
+def _decide(model: Model, texts: list[str | None], limit: float | None = None) -> tuple[list[str], list[float]]:
+    langs, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
+    for held, size, lengths in _lengths(model, texts):
         best = lengths.argmin(axis=1)  # ties: the first name
         share = 1 / np.exp2(np.maximum(lengths.min(axis=1, keepdims=True) - lengths, -1000)).sum(axis=1)
-        for i, b, s in zip(held, best.tolist(), share.tolist(), strict=True):
-            langs[i], scores[i] = model.languages[b], s
+        known = np.full(len(held), True) if limit is None else lengths.min(axis=1) <= limit * (size + START)
+        for i, b, s, k in zip(held, best.tolist(), share.tolist(), known.tolist(), strict=True):
+            if k:
+                langs[i], scores[i] = model.languages[b], s
     return langs, scores
 
 
-def with_language(df: DataFrame, model: Model, text: str = "text", out: str = "lang_pred", score: str = "score") -> DataFrame:
+def fitted_limit(df: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", size: int = LIMIT_SAMPLE) -> float:
+    """Most bits per byte (after START more bytes) of a text in a language of the model, from labelled rows it wasn't trained on."""
+    arrow_batches(df.sparkSession)
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def cost(texts):
+        import pandas as pd
+
+        out = np.full(len(texts), np.nan)
+        for held, n, lengths in _lengths(shared.value, texts.tolist()):
+            out[held] = lengths.min(axis=1) / (n + START)
+        return pd.Series(out)
+
+    rows = sample(df.where(F.col(doc_id).isNotNull() & held_out(doc_id)), doc_id, lang, text, size)
+    costs = materialize(rows.select(cost("text").alias("cost")), "langcosts").where("NOT isnan(cost)")
+    high = costs.agg(F.percentile("cost", F.lit(0.999))).first()[0]
+    return MOST_LIMIT if high is None else min(max(SLACK * high, LEAST_LIMIT), MOST_LIMIT)
+
+
+def with_language(df: DataFrame, model: Model, text: str = "text", out: str = "lang_pred", score: str = "score", limit: float | None = None) -> DataFrame:
     """df with the predicted language and its share (0 to 1) of the probability of the text over all languages.
 
-    Texts that are null or hold no letter get "und" and 0; so do all texts if the model has seen no language. All rows
-    and other columns stay.
+    Texts that are null or hold no letter get "und" and 0; so do all texts if the model has seen no language, and, with a
+    limit, texts that take more bits per byte than it even under their best language. All rows and other columns stay.
     """
     arrow_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by the training sample
@@ -149,7 +183,7 @@ def with_language(df: DataFrame, model: Model, text: str = "text", out: str = "l
     def decided(texts):
         import pandas as pd
 
-        langs, scores = _decide(shared.value, texts.where(texts.notna(), None).tolist())
+        langs, scores = _decide(shared.value, texts.where(texts.notna(), None).tolist(), limit)
         return pd.DataFrame({out: pd.Series(langs, dtype=object), score: pd.Series(scores, dtype=float)})
 
     held = unused(df, "decided")
