@@ -1,0 +1,22 @@
+"""Keypoints that differ in up to DISTANCE bits match, wherever the bits lie."""
+
+import numpy as np
+
+from tessera.llm import images
+
+
+def test_matches_up_to_seven_bits(spark):
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 256, (10, 32), dtype=np.uint8)
+    # each word of 32 bits but one, another one for each keypoint, has one flipped bit
+    near, far = base.copy(), base.copy()
+    for k in range(10):
+        for w in range(8):
+            if w != k % 8:
+                near[k, 4 * w + k % 4] ^= 1 << k % 8
+            far[k, 4 * w + k % 4] ^= 1 << k % 8
+    at = rng.uniform(10, 80, (10, 2)).tolist()
+    points = lambda d, shift: [(x + shift, y, 1.0, 0.0, w) for (x, y), w in zip(at, d.view(">i8").astype(np.int64).tolist(), strict=True)]
+    schema = "id long, points array<struct<x: float, y: float, scale: float, angle: float, words: array<long>>>"
+    frame = spark.createDataFrame([(1, points(base, 0.0)), (2, points(near, 2.0)), (3, points(far, 40.0))], schema)
+    assert [(r.a, r.b, r.matches) for r in images.links(frame).where("a = 1").collect()] == [(1, 2, 10)]
