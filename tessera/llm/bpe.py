@@ -54,6 +54,8 @@ class RankQueue:
         """Push every position whose rank isn't negative, position i with ranks[i]."""
         order = np.argsort(ranks, kind="stable")
         order = order[np.searchsorted(ranks[order], 0) :]
+        if not len(order):
+            return
         distinct, first = np.unique(ranks[order], return_index=True)
         positions, ends = order.tolist(), [*first[1:].tolist(), len(order)]
         for rank, a, b in zip(distinct.tolist(), first.tolist(), ends, strict=True):
@@ -102,6 +104,8 @@ class Vocabulary:
         ids, queue = self.ids, RankQueue()
         find, push, buckets = ids.get, queue.push, queue.buckets
         cut = [w for w in words if w not in ids]
+        if not cut:
+            return [[ids[w]] for w in words]
         data = np.frombuffer(b"".join(cut), np.uint8)
         ends = np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut)))
         heads = [0, *ends.tolist()][: len(cut)]
