@@ -61,7 +61,7 @@ def plain_spans(text: str) -> list[Span]:
     spans = [(s, e, "email") for s, e in emails(text)]
     if DIGIT.search(text):
         for m in IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+            if all(len(p := part.lstrip("0")) <= 3 and int(p or 0) <= 255 for part in m[0].split(".")):
                 spans.append((*m.span(), "ip"))
         for m in CARD.finditer(text):
             if m.end() - m.start() >= 12 and 12 <= len(digits := NOT_DIGIT.sub("", m[0])) <= 19 and luhn(digits):
