@@ -9,10 +9,10 @@ are alike. The shortest code wins.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +23,8 @@ ORDER = 4
 #: Labelled texts of each language that the trees are counted on.
 SAMPLE = 2000
 UNDETERMINED = "und"
-LETTER = re.compile(r"[^\W\d_]")
+#: A letter: Unicode category L. Number signs such as a half or a Roman eight are none.
+LETTER = regex.compile(r"\p{L}")
 #: Held-out labelled texts of each language that the limit of code lengths is fitted on.
 LIMIT_SAMPLE = 500
 #: The limit is SLACK times the 99.9th percentile of their bits per byte, within these bounds (8: no better than no model).
