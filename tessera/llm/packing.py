@@ -46,7 +46,7 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.special = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.chunks, self.words = Memory(REMEMBERED), Memory(REMEMBERED)
         ids = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
         self.mark = ids[0] if len(ids) == 1 else None
@@ -71,7 +71,7 @@ class ChunkTokenizer:
     def _parts(self, chunk: bytes) -> tuple[bytes, bytes]:
         """(word, tail) of a chunk whose trailing marks make a pre-token of their own; else (chunk, nothing)."""
         word = chunk.rstrip(TAIL)
-        if len(word) == len(chunk) or not word:
+        if len(word) == len(chunk) or not word or any(s in chunk.lower() for s in self.special):
             return chunk, b""
         # the last character must still be a letter when the tokenizer has normalised it
         if not (word[-1:].isalnum() or unicodedata.normalize("NFC", word.decode("utf-8")[-1]).lower()[-1].isalpha()):
