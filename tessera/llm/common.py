@@ -9,24 +9,34 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows an Arrow batch holds at most, so that a batch of long texts fits in a Python worker.
-BATCH_ROWS = 512
+#: Rows and bytes an Arrow batch holds at most, so that a batch of long texts fits in a Python worker.
+BATCH_ROWS, BATCH_BYTES = 512, "16m"
+#: A key of a lookup is salted if it has more than a SPREADth of the rows; so at most SPREAD keys are.
+SPREAD = 256
 
 
 def arrow_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the rows of the Arrow batches that go to Python workers."""
+    """Bound the rows and the bytes of the Arrow batches that go to Python workers.
+
+    Plans read the setting when they run, so the bound on bytes is the same for all operators: it holds whatever number of
+    rows another one has set since.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one set here where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session gets one.
+
+    Other sessions are refused: executors on other machines couldn't read a folder of the driver's.
+    """
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
-        context = spark.sparkContext
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-scratch-"))
         root = context.getCheckpointDir()
-        if not root:
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-scratch-"))
-            root = context.getCheckpointDir()
     return root.rstrip("/")
 
 
@@ -35,7 +45,35 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/tessera-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    read = spark.read.schema(df.schema).parquet(path)
+    read._scratch = path
+    return read
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table of a materialized frame that no later plan reads."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._scratch)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def lookup(left: DataFrame, right: DataFrame, on: str | list[str], rows: int, how: str = "inner", by: list[str] | None = None, counts: DataFrame | None = None) -> DataFrame:
+    """left joined (inner or left) with right, which has one row for each key; no key's rows go to one task.
+
+    Rows of a key that has more than a SPREADth of all rows are dealt out by a hash of the columns in by (default: all of
+    left but the key), and the key's row of right goes to each of their places. rows: how many rows left has; as a key is dealt out
+    only above that share, the keys that are broadcast are SPREAD at most. counts: the keys with column times, if known.
+    """
+    on = [on] if isinstance(on, str) else on
+    most = max(8, -(-rows // SPREAD))
+    counts = left.groupBy(*on).agg(F.count("*").alias("times")) if counts is None else counts.select(*on, "times")
+    parts, salt = unused(left, "parts"), unused(left, "salt")
+    hot = F.broadcast(counts.where(F.col("times") > most).select(*on, F.ceil(F.col("times") / F.lit(most)).cast("int").alias(parts)))
+    own = F.when(F.col(parts).isNull(), 0).otherwise(F.pmod(F.xxhash64(*(by or [c for c in left.columns if c not in on])), F.col(parts))).cast("int")
+    dealt = left.join(hot, on, "left").withColumn(salt, own).drop(parts)
+    every = F.explode(F.sequence(F.lit(0), F.coalesce(F.col(parts), F.lit(1)) - 1))
+    copied = right.join(hot, on, "left").withColumn(salt, every).drop(parts)
+    return dealt.join(copied, [*on, salt], how).drop(salt)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -57,26 +95,44 @@ def row_key(*columns: str) -> tuple[Column, Column]:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """Connected components of an undirected graph by repeated contraction.
+    """Connected components of an undirected graph by local contraction.
 
-    edges: long columns a, b. Returns (node, root): one row for each node that has an edge, root being the
-    smallest node it reaches. In each round every node hooks to its smallest neighbour and the edges are mapped to the
-    hooks; rounds end when no edge is left. All state stays in tables in the shared folder, none on the driver.
-    Null ends and self loops are ignored.
+    edges: long columns a, b. Returns (node, root): one row for each node that has an edge, root being the smallest node it
+    reaches. In each round every node hooks to the one of itself and its neighbours that a hash of the round puts first, and
+    edges are mapped to the hooks. Hashes differ from round to round, so a path of n links is done in about log2(n) rounds
+    and a group of any shape in fewer. The hooks of all rounds are then followed from the last to the first. All state stays in
+    tables in the shared folder, none on the driver. Null ends and self loops are ignored.
     """
-    edges = materialize(edges.select("a", "b").where("a <> b").distinct(), "edges")
-    both = edges.select("a").union(edges.select("b")).distinct()
-    labels = both.select(F.col("a").alias("node"), F.col("a").alias("root"))
-    while not edges.isEmpty():
+    spark = edges.sparkSession
+    ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    edges = materialize(ordered(edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL")), "edges")
+    hooks: list[DataFrame] = []
+    while n := edges.count():
         sides = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hook = materialize(sides.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("at"), F.least("a", "low").alias("to")), "hooks")
-        labels = materialize(
-            labels.join(hook, labels.root == hook["at"], "left").select("node", F.coalesce("to", "root").alias("root")), "labels"
-        )
-        mapped = edges.join(hook.withColumnRenamed("to", "x"), F.col("a") == F.col("at")).select("x", "b")
-        mapped = mapped.join(hook.withColumnRenamed("to", "y"), F.col("b") == F.col("at")).select(F.col("x").alias("a"), F.col("y").alias("b"))
-        edges = materialize(mapped.where("a <> b").distinct(), "edges")
-    return labels
+        place = lambda c: F.struct(F.xxhash64(F.lit(len(hooks)), c).alias("h"), F.col(c).alias("node"))  # noqa: B023, E731
+        first = sides.groupBy("a").agg(F.min(place("b")).alias("low"))
+        hooks.append(materialize(first.select(F.col("a").alias("at"), F.least("low", place("a"))["node"].alias("to")), "hooks"))
+        mapped = edges
+        for end, other in (("a", "b"), ("b", "a")):
+            mapped = lookup(mapped, hooks[-1].withColumnRenamed("at", end), end, n).select(F.col("to").alias(end), other)
+        last, edges = edges, materialize(ordered(mapped), "edges")
+        discard(last)
+    discard(edges)
+    if not hooks:
+        return spark.createDataFrame([], "node long, root long")
+    roots = None
+    for hook in reversed(hooks):
+        found = hook.select(F.col("at").alias("node"), F.col("to").alias("root"))
+        if roots is not None:
+            further = roots.select(F.col("node").alias("root"), F.col("root").alias("end"))
+            found = lookup(found, further, "root", hook.count(), "left").select("node", F.coalesce("end", "root").alias("root"))
+        last, roots = roots, materialize(found, "labels")
+        discard(hook)
+        if last is not None:
+            discard(last)
+    # a component's own root hooks to itself in its last round, and the least node of the group takes its place
+    least = roots.groupBy("root").agg(F.min("node").alias("least"), F.count("*").alias("times"))
+    return lookup(roots, least.drop("times"), "root", roots.count(), counts=least).select("node", F.col("least").alias("root"))
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_batches, components, materialize, row_key, shuffle_partitions, unused
+from tessera.llm.common import arrow_batches, components, lookup, materialize, row_key, shuffle_partitions, unused
 
 SEED = 42
 RADIUS = 3
@@ -185,8 +185,8 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
         raise ValueError("the bucket keys are complete up to a radius of 3")
     parts = shuffle_partitions(fps.sparkSession)
     keyed = fps.select(F.explode(_keys(F.col("fp"))).alias("key"), "fp")
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    met = keyed.join(sizes, "key").withColumn("blocks", F.ceil(F.col("size") / F.lit(float(BLOCK))).cast("int"))
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("times")).where("times > 1")
+    met = lookup(keyed, sizes.withColumn("size", F.col("times")).drop("times"), "key", 16 * fps.count(), counts=sizes).withColumn("blocks", F.ceil(F.col("size") / F.lit(float(BLOCK))).cast("int"))
     met = met.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     met = met.select("key", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     met = met.select("key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "fp")
@@ -196,14 +196,14 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def _clustered(fps: DataFrame, radius: int) -> DataFrame:
     """fps (doc_id, fp, more) with root, the smallest fingerprint of the component, and its smallest doc_id, lowest."""
-    firsts = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    joined = components(links(firsts.select("fp"), radius))
-    rooted = joined.join(firsts, joined.node == firsts.fp).select("node", "root", "first")
+    counted = fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("times"))
+    firsts = materialize(counted, "firsts")
+    joined = materialize(components(links(firsts.select("fp"), radius)), "components")
+    rooted = joined.join(firsts.drop("times"), joined.node == firsts.fp).select("node", "root", "first")
     lowest = rooted.groupBy("root").agg(F.min("first").alias("lowest"))
-    linked = rooted.join(lowest, "root").select(F.col("node").alias("fp"), "root", "lowest")
-    known = firsts.join(linked, "fp", "left")
-    known = known.select(F.col("fp").alias("of"), F.coalesce("root", "fp").alias("root"), F.coalesce("lowest", "first").alias("lowest"))
-    return fps.join(known, fps.fp == known["of"]).drop("of")
+    linked = lookup(rooted, lowest, "root", joined.count()).select(F.col("node").alias("fp"), "root", "lowest")
+    known = firsts.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("lowest", "first").alias("lowest"))
+    return lookup(fps, known, "fp", fps.count(), counts=firsts)
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = RADIUS) -> DataFrame:
