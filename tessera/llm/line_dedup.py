@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import row_key, unused
+from tessera.llm.common import lookup, materialize, row_key, unused
 
 #: Lines in a window.
 WINDOW = 3
@@ -33,8 +33,9 @@ def repeated_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     """(k1, k2, covered): for each document the positions of the lines that repeated windows cover after their first place."""
     places = window_hashes(df, doc_id, text, window)
     place = F.struct(F.col("doc").isNull().alias("none"), "doc", "k1", "k2", "pos")
-    first = places.groupBy("h1", "h2").agg(F.count("*").alias("times"), F.min(place).alias("first")).where("times > 1")
-    later = places.join(first.select("h1", "h2", "first"), ["h1", "h2"]).where(place > F.col("first"))
+    first = materialize(places.groupBy("h1", "h2").agg(F.count("*").alias("times"), F.min(place).alias("first")).where("times > 1"), "windows")
+    met = lookup(places, first.drop("times"), ["h1", "h2"], first.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0], by=["k1", "k2", "pos"], counts=first)
+    later = met.where(place > F.col("first"))
     starts = later.groupBy("k1", "k2").agg(F.collect_set("pos").alias("starts"))
     spread = F.flatten(F.transform("starts", lambda p: F.sequence(p, p + (window - 1))))
     return starts.select("k1", "k2", F.array_distinct(spread).alias("covered"))
