@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import shuffle_partitions
+from tessera.llm.common import lookup, materialize, shuffle_partitions
 
 # Header fields that a 304 response must not change in a stored response (RFC 9110, RFC 9111 section 3.2).
 NOT_MERGED = (
@@ -82,11 +82,12 @@ def resolve(records: DataFrame) -> DataFrame:
     found = events.withColumn("near", F.max("at").over(earlier)).where("asks").join(carried, ["canonical_url", "bucket"])
     found = found.select(F.col("canonical_url").alias("u"), F.col("time").alias("t"), F.coalesce("near", "carried")["record_id"].alias("source_id"))
     asked = revisits.join(found, (F.col("canonical_url") == F.col("u")) & (F.col("time") == F.col("t")), "left").drop("u", "t", "kind", "status", "payload")
+    asked = materialize(asked, "revisits")
 
-    used = found.select("source_id").distinct()
+    used = asked.groupBy("source_id").agg(F.count("*").alias("times"))
     sources = full.join(used, full.record_id == used.source_id, "left_semi").dropDuplicates(["record_id"])
-    sources = sources.select(F.col("record_id").alias("of"), F.col("status").alias("old_status"), lower_keys(F.col("headers")).alias("old"), F.col("payload").alias("old_payload"))
-    met = asked.withColumn("new", lower_keys(F.col("headers"))).join(sources, F.col("source_id") == F.col("of"), "left")
+    sources = sources.select(F.col("record_id").alias("source_id"), F.col("status").alias("old_status"), lower_keys(F.col("headers")).alias("old"), F.col("payload").alias("old_payload"))
+    met = lookup(asked.withColumn("new", lower_keys(F.col("headers"))), sources, "source_id", asked.count(), "left", by=["record_id", "time"], counts=used)
     tag, date = F.col("new")["etag"], F.col("new")["last-modified"]
     same = F.when(tag.isNotNull(), weak(tag).eqNullSafe(weak(F.col("old")["etag"]))).otherwise(F.trim(date).eqNullSafe(F.trim(F.col("old")["last-modified"])))
     outcome = (
