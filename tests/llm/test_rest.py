@@ -2,6 +2,7 @@
 
 import re
 import struct
+import unicodedata
 import zlib
 
 import numpy as np
@@ -240,7 +241,8 @@ def test_revisits_of_one_url(spark):
 def test_pipeline(spark, sf_dir):
     """Each stage against a plain version of it, on what the stage before has kept."""
     import corpus_pipeline
-    from test_dedup import brute_fingerprint, brute_groups, brute_lines
+    from test_dedup import brute_lines
+    from test_jaccard import brute_kept
     from test_tokens import check_packed
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -255,13 +257,12 @@ def test_pipeline(spark, sf_dir):
         assert docs.columns == columns
         after = {r.doc_id: r.text for r in docs.collect()}
         if name == "language ID":
-            assert after == {i: t for i, t in before.items() if t and re.search(r"[^\W\d_]", t)}  # clean texts stay
+            assert after == {i: t for i, t in before.items() if t and any(unicodedata.category(c).startswith("L") for c in t)}  # clean texts stay
         if name == "line dedup":
             order = sorted(before)
             assert after == dict(zip(order, brute_lines([(i, before[i]) for i in order]), strict=True))
         if name == "SimHash near-dedup":
-            order = sorted(before)
-            assert set(after) == set(brute_groups([brute_fingerprint(before[i]) for i in order], order))
+            assert sorted(after) == brute_kept(sorted(before.items()))  # five words, Jaccard similarity of 0.8 or more
         if name == "PII":
             assert set(after) == set(before) and not any(brute_spans(t) for t in after.values())
     check_packed(rows)
