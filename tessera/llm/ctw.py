@@ -8,8 +8,9 @@ below has the rest. A text's score is the log10 of the product over its bytes an
 
 The counts are gathered from all training texts. Grams of ORDER + 1 bytes are grouped by the last two context bytes, so all
 nodes from depth 2 down are worked out where their grams are; depths 0 and 1 have 65,535 nodes at most. For scoring, the
-model is cut into shards of at most SHARD entries, by the same two bytes, and texts are passed over once per shard; the
-parts add up. Word counts for the base score are cut likewise.
+model is cut into shards by the same two bytes, of SHARD entries and one bucket more at most, and texts are passed over once per
+shard; the parts add up. There are as many shards as the model needs, and one at a time is in the driver's memory and
+broadcast. Word counts for the base score are cut likewise.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ from tessera.llm.common import arrow_batches, materialize, row_key, shuffle_part
 ORDER = 5
 #: Entries of the model, and words, that are sent to the executors for one pass; what is broadcast is 16 bytes each.
 SHARD = 2_000_000
-#: Parts that the model and the words are written in; a shard takes whole ones.
-BUCKETS = 512
+#: Parts that the model and the words are written in, at least and at most (one for each pair of bytes); a shard takes whole ones.
+BUCKETS, MOST_BUCKETS = 512, 1 << 16
 
 
 def log2_gamma(x: np.ndarray) -> np.ndarray:
@@ -151,9 +152,20 @@ def path_bits(context: np.ndarray, symbol: np.ndarray, order: int, top: Top, dee
     return total
 
 
-def _buckets() -> np.ndarray:
-    """Bucket of each pair of newest context bytes."""
-    return (np.arange(1 << 16, dtype=np.uint64) * np.uint64(2654435761) >> np.uint64(7)).astype(np.int64) % BUCKETS
+def _buckets(count: int) -> np.ndarray:
+    """Bucket of each pair of newest context bytes; count is a power of two."""
+    return (np.arange(1 << 16) * 40503 % (1 << 16)) // ((1 << 16) // count)
+
+
+def _cut(sizes: list[tuple[int, int]], count: int, shard: int) -> list[tuple[int, int]]:
+    """Ranges of buckets of at most `shard` entries each, but for a bucket that has more by itself; they cover all buckets."""
+    ranges, low, held = [], 0, 0
+    for bucket, size in sorted(sizes):
+        if held and held + size > shard:
+            ranges.append((low, bucket))
+            low, held = bucket, 0
+        held += size
+    return [*ranges, (low, count)]
 
 
 def _squeezed(values: np.ndarray) -> bytes:
@@ -206,8 +218,8 @@ class Shard:
     It travels as compressed bytes; each worker opens it and builds its tables once.
     """
 
-    def __init__(self, rows: pa.Table, words: pa.Table | None, order: int, top: Top, number: int, shards: int, word_shards: int):
-        self.order, self.top, self.number, self.shards, self.word_shards = order, top, number, shards, word_shards
+    def __init__(self, rows: pa.Table, words: pa.Table | None, order: int, top: Top, own: tuple[int, int], own_words: tuple[int, int], buckets: int):
+        self.order, self.top, self.own, self.own_words, self.buckets = order, top, own, own_words, buckets
         self.raw = {}
         for d in range(2, order + 2):
             own = rows.filter(pc.equal(rows.column("depth"), d))
@@ -224,7 +236,8 @@ class Shard:
             rank = np.argsort(key, kind="stable")
             self.parts[d] = key[rank], _opened(a, sizes, np.float32)[rank], _opened(b, sizes, np.float32)[rank] if d <= self.order else None
             self.tables[d] = grams.KeyTable(self.parts[d][0])
-        self.mine = _buckets() % self.shards == self.number
+        bucket = _buckets(self.buckets)
+        self.mine = (bucket >= self.own[0]) & (bucket < self.own[1])
         if self.raw_words is not None:
             sizes, key, n = self.raw_words
             key = _keys(key, sizes)
@@ -235,7 +248,7 @@ class Shard:
 
     def bits(self, keys: np.ndarray) -> np.ndarray:
         """log2 probabilities of grams; 0 for those of other shards."""
-        if self.shards == 1:
+        if self.mine.all():
             return self._bits(keys)
         out = np.zeros(len(keys))
         newest = (keys >> np.uint64(8)) & np.uint64(255)
@@ -264,18 +277,17 @@ class Shard:
         """By text: words and end, those of them that training has, and the sum of log10(count + 0.5); of this shard only."""
         hashes, of = laid.words()
         hashes, of = np.concatenate((hashes, np.full(laid.count, grams.END_WORD))), np.concatenate((of, np.arange(laid.count)))
-        if self.word_shards > 1:
-            mine = (hashes % np.uint64(BUCKETS)).astype(np.int64) % self.word_shards == self.number
+        if self.own_words != (0, self.buckets):
+            bucket = (hashes % np.uint64(self.buckets)).astype(np.int64)
+            mine = (bucket >= self.own_words[0]) & (bucket < self.own_words[1])
             hashes, of = hashes[mine], of[mine]
         row = self.word_table.find(hashes)
         n = np.where(row >= 0, self.words[1][row], 0) if len(self.words[1]) else np.zeros(len(hashes))
         return np.bincount(of, minlength=laid.count), np.bincount(of, row >= 0, laid.count), np.bincount(of, np.log10(n + 0.5), laid.count)
 
 
-def _score(df: DataFrame, shard: Shard) -> DataFrame:
-    """df (doc_id, k1, k2, held_out, text) with this shard's parts in place of the text."""
-    shared = df.sparkSession.sparkContext.broadcast(shard)
-    del shard
+def _score(df: DataFrame, shared, name: str) -> DataFrame:
+    """df (doc_id, k1, k2, held_out, text) with the parts of a broadcast shard in place of the text, written."""
     kept = [c for c in df.columns if c != "text"]
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept) + ", words long, known long, logs double, bits double"
 
@@ -301,7 +313,7 @@ def _score(df: DataFrame, shard: Shard) -> DataFrame:
             columns = [batch.column(c) for c in kept] + [pa.array(v.astype(np.int64) if i < 2 else v) for i, v in enumerate(values)]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, "words", "known", "logs", "bits"])
 
-    return df.mapInArrow(run, schema)
+    return materialize(df.mapInArrow(run, schema), name)
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -326,6 +338,9 @@ def scores(df: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int
     found = materialize(grams.counts(learned, order, words=True).select("kind", "key", "n"), "counts")
     words = found.where(F.col("kind") == grams.WORD).select("key", "n")
     vocabulary, train_tokens = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    distinct, count = found.count(), BUCKETS
+    while count < MOST_BUCKETS and 32 * distinct > shard * count:  # a bucket is a small part of a shard
+        count *= 2
 
     newest = F.shiftright("key", 8).bitwiseAND(0xFFFF)
     counted = found.where(F.col("kind") == grams.GRAM).select("key", "n").repartition(shuffle_partitions(spark), newest)
@@ -351,7 +366,7 @@ def scores(df: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int
                 row = tables[depth].find(at)
                 return row >= 0, estimates[depth][row], nodes[depth].weight[row]
 
-            buckets = _buckets()
+            buckets = _buckets(count)
             bucket = lambda where: buckets[(where >> np.uint64(8 * (order - 2))).astype(np.int64)]
             bits = path_bits(context, symbol, order, top, deep)
             yield from _packed(keys, bucket(context), [bits.astype(np.float32), np.empty((len(keys), 0), np.float32)], [order + 1])
@@ -362,19 +377,24 @@ def scores(df: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int
     def packed_words(batches):
         for batch in batches:
             key = batch.column("key").to_numpy().view(np.uint64)
-            yield from _packed(key, (key % np.uint64(BUCKETS)).astype(np.int64), [batch.column("n").to_numpy()], [])
+            yield from _packed(key, (key % np.uint64(count)).astype(np.int64), [batch.column("n").to_numpy()], [])
 
     entries = materialize(counted.mapInArrow(model, "depth int, bucket int, size long, key binary, a binary, b binary"), "nodes")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "200000")
     words = materialize(words.mapInArrow(packed_words, "bucket int, size long, key binary, n binary"), "words")
     arrow_batches(spark)
-    size = entries.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    shards, word_shards = (min(BUCKETS, max(1, -(-n // shard))) for n in (size, vocabulary))
+    ranges, word_ranges = ([*_cut([tuple(r) for r in t.groupBy("bucket").agg(F.sum("size")).collect()], count, shard)] for t in (entries, words))
     parts = []
-    for number in range(max(shards, word_shards)):
-        own = entries.where(F.col("bucket") % shards == number) if number < shards else entries.limit(0)
-        own_words = words.where(F.col("bucket") % word_shards == number).toArrow() if number < word_shards else None
-        parts.append(_score(rows, Shard(own.select("depth", "size", "key", "a", "b").toArrow(), own_words, order, top, number, shards, word_shards)))
+    for number in range(max(len(ranges), len(word_ranges))):
+        own = ranges[number] if number < len(ranges) else (count, count)
+        own_words = word_ranges[number] if number < len(word_ranges) else (count, count)
+        inside = lambda low, high: (F.col("bucket") >= low) & (F.col("bucket") < high)
+        model_rows = entries.where(inside(*own)).select("depth", "size", "key", "a", "b").toArrow()
+        word_rows = words.where(inside(*own_words)).toArrow() if number < len(word_ranges) else None
+        shared = spark.sparkContext.broadcast(Shard(model_rows, word_rows, order, top, own, own_words, count))
+        del model_rows, word_rows
+        parts.append(_score(rows, shared, f"pass{number}"))
+        shared.destroy()
         pa.default_memory_pool().release_unused()
     if len(parts) == 1:
         whole = parts[0]
