@@ -60,8 +60,8 @@ def discard(df: DataFrame) -> None:
 def lookup(left: DataFrame, right: DataFrame, on: str | list[str], rows: int, how: str = "inner", by: list[str] | None = None, counts: DataFrame | None = None) -> DataFrame:
     """left joined (inner or left) with right, which has one row for each key; no key's rows go to one task.
 
-    Rows of a key that has more than a SPREADth of all rows are dealt out by a hash of the columns in by (default: all of
-    left but the key), and the key's row of right goes to each of their places. rows: how many rows left has; as a key is dealt out
+    Rows of a null key, and of a key that has more than a SPREADth of all rows, are dealt out by a hash of the columns in by
+    (default: all of left but the key), and the key's row of right goes to each of their places. rows: how many rows left has; as a key is dealt out
     only above that share, the keys that are broadcast are SPREAD at most. counts: the keys with column times, if known.
     """
     on = [on] if isinstance(on, str) else on
@@ -69,7 +69,9 @@ def lookup(left: DataFrame, right: DataFrame, on: str | list[str], rows: int, ho
     counts = left.groupBy(*on).agg(F.count("*").alias("times")) if counts is None else counts.select(*on, "times")
     parts, salt = unused(left, "parts"), unused(left, "salt")
     hot = F.broadcast(counts.where(F.col("times") > most).select(*on, F.ceil(F.col("times") / F.lit(most)).cast("int").alias(parts)))
-    own = F.when(F.col(parts).isNull(), 0).otherwise(F.pmod(F.xxhash64(*(by or [c for c in left.columns if c not in on])), F.col(parts))).cast("int")
+    chance = F.xxhash64(*(by or [c for c in left.columns if c not in on]))
+    none = F.greatest(*(F.col(c).isNull() for c in on)) if len(on) > 1 else F.col(on[0]).isNull()  # these match nothing, but must go somewhere
+    own = F.pmod(chance, F.when(none, SPREAD).otherwise(F.coalesce(F.col(parts), F.lit(1)))).cast("int")
     dealt = left.join(hot, on, "left").withColumn(salt, own).drop(parts)
     every = F.explode(F.sequence(F.lit(0), F.coalesce(F.col(parts), F.lit(1)) - 1))
     copied = right.join(hot, on, "left").withColumn(salt, every).drop(parts)
