@@ -90,6 +90,23 @@ def discrete_survival(hazard: Column) -> Column:
     return F.transform(hazard, lambda _, i: F.aggregate(F.slice(hazard, F.lit(1), i + 1), F.lit(1.0), lambda s, h: s * (1 - h)))
 
 
+def discrete_risk(hazard: Column) -> Column:
+    """Risk of a discrete survival prediction: the sum of its hazards."""
+    return F.aggregate(hazard, F.lit(0.0), lambda s, h: s + h)
+
+
+def safe_mean(values: Column) -> Column:
+    """Mean of an array, 0 of an empty one."""
+    total = F.aggregate(values, F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return F.when(F.size(values) > 0, total / F.size(values)).otherwise(0.0)
+
+
+def masked_or_all(values: Column, mask: Column) -> Column:
+    """The values whose mask is true; all of them if it leaves none or is null."""
+    kept = F.filter(values, lambda _, i: F.coalesce(F.get(mask, i), F.lit(False)))
+    return F.when(F.size(kept) > 0, kept).otherwise(values)
+
+
 def latent_key(level1: Column, level2: Column, level3: Column) -> Column:
     return level1.cast("long") + level2.cast("long") * 10**6 + level3.cast("long") * 10**11
 

@@ -25,6 +25,12 @@ def load(bags: DataFrame, tiles: DataFrame) -> DataFrame:
     return rows.select("sample_id", position.alias("position"), "slide", "tile_idx", "vec")
 
 
+def dataset(annotations: DataFrame, tiles: DataFrame, level: str, task: str, size: int | None = None) -> DataFrame:
+    """Bag rows for a task: retrieval bags as they are, others at a fixed size where one is given."""
+    rows = load(build(annotations, level), tiles)
+    return rows if task == "slide_retrieval" or size is None else resized(rows, size).drop("position").withColumnRenamed("place", "position")
+
+
 def resized(bag_rows: DataFrame, size: int) -> DataFrame:
     """Bags of exactly size rows: larger ones keep evenly spaced rows (half-even), smaller ones repeat in turn."""
     sizes = bag_rows.groupBy("sample_id").agg(F.count("*").alias("n"))

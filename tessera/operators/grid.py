@@ -122,6 +122,27 @@ def suggestions(trials: DataFrame, name: str, spec: Mapping, seed: int = 0) -> D
     return trials.withColumn(name, F.round((value - low) / spec["step"]) * spec["step"] + low if "step" in spec else value)
 
 
+def by_bag(combos: DataFrame, bag: str = "bag_id") -> DataFrame:
+    """(bag_id, combos): the combinations that read each bag, in order."""
+    return combos.groupBy(bag).agg(F.array_sort(F.collect_list("combo_index")).alias("combos"))
+
+
+def first_seen(combos: DataFrame, column: str) -> DataFrame:
+    """Distinct values of a column with the first combination that has each."""
+    return combos.groupBy(column).agg(F.min("combo_index").alias("first"))
+
+
+def one_bundle(bundles: DataFrame, **wanted) -> DataFrame:
+    """The one prototype bundle that matches all wanted fields; none or several raise."""
+    found = bundles
+    for key, value in wanted.items():
+        found = found.where(F.col(key).eqNullSafe(F.lit(value)))
+    names = [r.name for r in found.select("name").distinct().orderBy("name").limit(2).collect()]
+    if len(names) != 1:
+        raise ValueError(f"{'several' if names else 'no'} bundles for {wanted}")
+    return found.where(F.col("name") == names[0])
+
+
 def compatible(grid: DataFrame, table: DataFrame) -> DataFrame:
     """grid with reason: why a combination can't run, else null. table: representation, feature_level, search, kind."""
     known = F.broadcast(table.select(F.col("representation").alias("_r"), F.col("search").alias("_s"), F.col("feature_level").alias("_l")).distinct())

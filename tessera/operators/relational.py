@@ -18,6 +18,29 @@ MINIMIZED = ("loss", "error", "mae", "mse", "rmse")
 SUCCESS = ("success", "complete", "completed")
 
 
+def running(rows: DataFrame, order: str, made: dict[str, tuple[Column, str]], descending: bool = False, then: Sequence[str] = ()) -> DataFrame:
+    """rows with running totals along a column, each row's own included, by range partitions: no task sees all rows.
+
+    made: name to (column, "sum" or "product"). The column is cut at its approximate quantiles, each range is totalled by
+    itself, and the totals of the ranges before, one row for each partition at most, are added. Rows of equal order go in the
+    order of then. Nulls in order come first, or last when descending.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = rows.agg(F.percentile_approx(order, F.array(*[F.lit(i / parts) for i in range(1, parts)] or [F.lit(0.5)]), 1000)).first()[0] or []
+    least = F.array(*[F.lit(c) for c in sorted(set(cuts))])
+    bucket = F.coalesce(F.size(F.filter(least, lambda c: c <= F.col(order))), F.lit(0)) if cuts else F.lit(0)
+    fold = {"sum": F.sum, "product": F.product}
+    way = (lambda c: F.desc_nulls_last(c)) if descending else (lambda c: F.asc_nulls_first(c))
+    cut = rows.withColumn("_range", F.when(F.col(order).isNull(), -1).otherwise(bucket))
+    ends = cut.groupBy("_range").agg(*(fold[how](c).alias(f"_{name}") for name, (c, how) in made.items()))
+    before = Window.orderBy(way("_range")).rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    carried = ends.select("_range", *(fold[how](f"_{name}").over(before).alias(f"_{name}") for name, (_, how) in made.items()))
+    inside = Window.partitionBy("_range").orderBy(way(order), *then).rowsBetween(Window.unboundedPreceding, 0)
+    out = cut.withColumns({name: fold[how](c).over(inside) for name, (c, how) in made.items()}).join(F.broadcast(carried), "_range")
+    whole = {n: F.col(n) + F.coalesce(f"_{n}", F.lit(0)) if how == "sum" else F.col(n) * F.coalesce(f"_{n}", F.lit(1.0)) for n, (_, how) in made.items()}
+    return out.withColumns(whole).drop("_range", *(f"_{n}" for n in made))
+
+
 def resolve(df: DataFrame, role: str) -> str:
     """The first alias of a role that is a column; a table has one, whatever its rows hold."""
     for name in ALIASES[role]:
@@ -164,8 +187,8 @@ def minimizes(metric: str) -> bool:
 def leaderboard(runs: DataFrame, metric: str = "objective") -> DataFrame:
     """Successful rows with a number, ranked from 1 by value and run_index; the others have a null rank."""
     good = F.lower("status").isin(*SUCCESS) & F.col("objective_value").isNotNull() & ~F.isnan("objective_value")
-    best = F.asc("objective_value") if minimizes(metric) else F.desc("objective_value")
-    value_first = runs.where(good).withColumn("rank", F.row_number().over(Window.orderBy(best, "run_index")))
+    ranked = running(runs.where(good), "objective_value", {"rank": (F.lit(1), "sum")}, descending=not minimizes(metric), then=["run_index"])
+    value_first = ranked.withColumn("rank", F.col("rank").cast("int"))
     return value_first.unionByName(runs.where(~F.coalesce(good, F.lit(False))).withColumn("rank", F.lit(None).cast("int")))
 
 
@@ -200,12 +223,14 @@ def split_by_patient(annotations: DataFrame, roles: Sequence[str], val_fraction:
         size = left if not after else max(min(1, left), min(round(n * share[role]), left - after))
         sizes.append(size)
         left -= size
-    place = F.row_number().over(Window.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), "patient")), "patient"))
     role, end = F.lit(None).cast("string"), n
     for name, size in reversed(list(zip(roles, sizes, strict=True))):
         role = F.when(F.col("place") <= end, name).otherwise(role)
         end -= size
-    placed = people.withColumn("place", place).select("patient", role.alias("role"))
+    drawn = F.md5(F.concat(F.lit(f"{seed}:"), "patient"))
+    # the first digits as a number cut the ranges, the whole text orders within them
+    shuffled = people.withColumns({"draw": F.conv(F.substring(drawn, 1, 12), 16, 10).cast("long"), "drawn": drawn})
+    placed = running(shuffled, "draw", {"place": (F.lit(1), "sum")}, then=["drawn", "patient"]).select("patient", role.alias("role"))
     return annotations.join(placed, "patient").withColumn("dataset", F.concat_ws("__", "dataset", "role"))
 
 

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SCHEMA = "slide string, tile_idx int, `group` int, selected boolean"
+# Floors of a mixture's variances and shares.
+LEAST_VARIANCE, LEAST_SHARE = 1e-8, 1e-12
 
 
 def kmeans(x: np.ndarray, k: int, iterations: int = 25) -> tuple[np.ndarray, np.ndarray]:
@@ -89,26 +91,51 @@ def _spread(group: np.ndarray, numbers, xy: np.ndarray, percent: float, first_al
 
 
 def fit_mixture(x: np.ndarray, prototypes: np.ndarray, iterations: int = 10, tau: float = 10.0, eps: float = 0.1):
-    """MAP-EM of a diagonal mixture around prototypes: (prob, mean, cov, responsibilities); tau is the prior's strength."""
-    k = len(prototypes)
-    prob, mean, cov = np.full(k, 1 / k), prototypes.astype(float).copy(), np.ones(prototypes.shape)
-    resp = responsibilities(x, prob, mean, cov + eps)
+    """MAP-EM of a diagonal mixture around prototypes: (prob, mean, cov, responsibilities).
+
+    Every component starts at its prototype with variance eps, and each step adds tau rows of just that distribution to the rows
+    that a component holds: shares, means and variances are the moments of both together, variances LEAST_VARIANCE at least.
+    """
+    prob, mean, cov = np.full(len(prototypes), 1 / len(prototypes)), prototypes.astype(float), np.full(prototypes.shape, eps)
+    resp = responsibilities(x, prob, mean, cov)
     for _ in range(iterations):
-        weight = resp.sum(0)
-        prob = (weight + tau / k) / (len(x) + tau)
-        mean = (resp.T @ x + tau * prototypes) / (weight + tau)[:, None]
-        cov = (resp.T @ x**2 - 2 * mean * (resp.T @ x) + weight[:, None] * mean**2 + tau * (1 + (mean - prototypes) ** 2)) / (weight + tau)[:, None]
-        resp = responsibilities(x, prob, mean, cov + eps)
+        held = (resp.sum(0) + tau)[:, None]
+        mean, square = (resp.T @ x + tau * prototypes) / held, (resp.T @ x**2 + tau * (prototypes**2 + eps)) / held
+        prob, cov = held[:, 0] / held.sum(), np.maximum(square - mean**2, LEAST_VARIANCE)
+        resp = responsibilities(x, prob, mean, cov)
     return prob, mean, cov, resp
 
 
 def responsibilities(x: np.ndarray, prob: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> np.ndarray:
-    """Share of each component in each row, by log-sum-exp."""
-    log = np.log(prob) - 0.5 * (np.log(2 * np.pi * cov).sum(1) + ((x[:, None] - mean) ** 2 / cov).sum(-1))
+    """Share of each component in each row, by log-sum-exp; shares and variances have floors."""
+    cov = np.maximum(cov, LEAST_VARIANCE)
+    log = np.log(np.maximum(prob, LEAST_SHARE)) - 0.5 * (np.log(2 * np.pi * cov).sum(1) + ((x[:, None] - mean) ** 2 / cov).sum(-1))
     log -= log.max(1, keepdims=True)
     return np.exp(log) / np.exp(log).sum(1, keepdims=True)
 
 
+def mixtures(tiles: DataFrame, prototypes: np.ndarray, **options) -> DataFrame:
+    """(slide, tile_idx, top, top_prob): the prototype with the largest share in each tile, from 0, by the slide's own mixture."""
+
+    def run(bag: pd.DataFrame) -> pd.DataFrame:
+        bag = bag.sort_values("tile_idx")
+        resp = fit_mixture(np.array(bag.vec.tolist(), np.float64), prototypes, **options)[3]
+        return pd.DataFrame({"slide": bag.slide, "tile_idx": bag.tile_idx, "top": resp.argmax(1), "top_prob": resp.max(1)})
+
+    return tiles.select("slide", "tile_idx", "vec").groupBy("slide").applyInPandas(run, "slide string, tile_idx int, top int, top_prob double")
+
+
+def embeddings(tiles: DataFrame, prototypes: np.ndarray, **options) -> DataFrame:
+    """(slide, proto, prob, mean, cov): a slide's mixture, a row per prototype; together they are the slide's embedding."""
+
+    def run(bag: pd.DataFrame) -> pd.DataFrame:
+        bag = bag.sort_values("tile_idx")
+        prob, mean, cov, _ = fit_mixture(np.array(bag.vec.tolist(), np.float64), prototypes, **options)
+        return pd.DataFrame({"slide": bag.slide.iloc[0], "proto": range(len(prob)), "prob": prob, "mean": mean.tolist(), "cov": cov.tolist()})
+
+    return tiles.select("slide", "tile_idx", "vec").groupBy("slide").applyInPandas(run, "slide string, proto int, prob double, mean array<double>, cov array<double>")
+
+
 def prototype_mosaic(prototypes: np.ndarray, labels: list[str] | None = None, percent: float = 1.0) -> Callable:
     """Groups by the top prototype, from 1; group 0 holds the tiles whose prototype is labelled "exclude"."""
 

@@ -82,6 +82,23 @@ def blurred(pixels: DataFrame, sigma: float) -> DataFrame:
     return pixels.select("slide", "px", "py", "score").groupBy("slide").applyInPandas(run, "slide string, px int, py int, score double")
 
 
+def top_tiles(tiles: DataFrame, score: str, k: int) -> DataFrame:
+    """tiles with rank: the k tiles of each slide with the largest scores, ties by tile_idx; all of them if there are fewer."""
+    rank = F.row_number().over(Window.partitionBy("slide").orderBy(F.desc_nulls_last(score), "tile_idx"))
+    return tiles.withColumn("rank", rank).where(F.col("rank") <= max(1, k))
+
+
+def squares(tiles: DataFrame, side: int) -> DataFrame:
+    """tiles with tile_id as text and the closed ring of a square's corners, from its upper left."""
+    corner = lambda dx, dy: F.array((F.col("x0") + dx * side).cast("double"), (F.col("y0") + dy * side).cast("double"))
+    return tiles.withColumns({"tile_id": F.col("tile_idx").cast("string"), "polygon": F.array(*(corner(*c) for c in ((0, 0), (1, 0), (1, 1), (0, 1), (0, 0))))})
+
+
+def survival_times(rows: DataFrame, exact: str, binned: str) -> DataFrame:
+    """rows with time: the exact one where there is one, else the bin."""
+    return rows.withColumn("time", F.coalesce(F.col(exact).cast("double"), F.col(binned).cast("double")))
+
+
 def mean_rgb(pixels: DataFrame) -> DataFrame:
     """(slide, tile_idx, vec): mean of r, g, b in 0 to 1 of each tile."""
     return pixels.groupBy("slide", "tile_idx").agg(F.array(*(F.avg(c) / 255 for c in "rgb")).alias("vec"))

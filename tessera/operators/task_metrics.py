@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.relational import running
+
 
 def _ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b)
@@ -46,9 +48,8 @@ def binary(predictions: DataFrame, threshold: float = 0.5) -> DataFrame:
 def by_score(predictions: DataFrame) -> DataFrame:
     """(p, pos, neg, tp, fp, positives, negatives): one row per distinct score, with running counts from the highest."""
     sums = predictions.groupBy("p").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
-    down = Window.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return sums.select("p", "pos", "neg", F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp"), F.sum("pos").over(whole).alias("positives"), F.sum("neg").over(whole).alias("negatives"))
+    totals = F.broadcast(sums.agg(F.sum("pos").alias("positives"), F.sum("neg").alias("negatives")))  # one row
+    return running(sums, "p", {"tp": (F.col("pos"), "sum"), "fp": (F.col("neg"), "sum")}, descending=True).join(totals)
 
 
 def ranking(predictions: DataFrame) -> DataFrame:
@@ -115,6 +116,8 @@ def life_table(subjects: DataFrame, by: list[str] | None = None) -> DataFrame:
     """(by, time, d, c, at_risk): per distinct time the events, the censorings, and the subjects not yet gone before it."""
     by = by or []
     sums = subjects.groupBy(*by, "time").agg(F.sum("event").alias("d"), F.sum(1 - F.col("event")).alias("c"))
+    if not by:
+        return running(sums, "time", {"at_risk": (F.col("d") + F.col("c"), "sum")}, descending=True)
     down = Window.partitionBy(*by).orderBy(F.desc("time")).rowsBetween(Window.unboundedPreceding, 0)
     return sums.withColumn("at_risk", F.sum(F.col("d") + F.col("c")).over(down))
 
@@ -123,8 +126,13 @@ def kaplan_meier(subjects: DataFrame, by: list[str] | None = None, censoring: bo
     """(by, time, survival) at the event times, from (0, 1); of the censoring distribution when asked."""
     by = by or []
     gone = F.col("c" if censoring else "d")
-    up = Window.partitionBy(*by).orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
-    steps = life_table(subjects, by).where(gone > 0).select(*by, "time", F.product(1 - gone / F.col("at_risk")).over(up).alias("survival"))
+    left = 1 - gone / F.col("at_risk")
+    steps = life_table(subjects, by).where(gone > 0)
+    if by:
+        up = Window.partitionBy(*by).orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
+        steps = steps.select(*by, "time", F.product(left).over(up).alias("survival"))
+    else:
+        steps = running(steps, "time", {"survival": (left, "product")}).select("time", "survival")
     start = (subjects.select(*by).distinct() if by else subjects.sparkSession.range(1).drop("id")).select(*by, F.lit(0.0).alias("time"), F.lit(1.0).alias("survival"))
     return start.unionByName(steps)
 
@@ -139,7 +147,7 @@ def by_risk(subjects: DataFrame) -> DataFrame:
 def event_times(subjects: DataFrame, most: int = 12) -> DataFrame:
     """(tau): distinct event times, thinned to `most` evenly spaced ones (half-even)."""
     times = subjects.where("event = 1").select("time").distinct()
-    place = times.withColumn("i", F.row_number().over(Window.orderBy("time")) - 1)
+    place = running(times, "time", {"i": (F.lit(1), "sum")}).withColumn("i", F.col("i") - 1)
     n = F.broadcast(place.agg(F.count("*").alias("n")))
     wanted = F.when(F.col("n") <= most, F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).otherwise(
         F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda j: F.rint(j * (F.col("n") - 1) / (most - 1.0)).cast("int"))
@@ -150,28 +158,32 @@ def event_times(subjects: DataFrame, most: int = 12) -> DataFrame:
 def concordance(subjects: DataFrame, by: list[str] | None = None, buckets: int = 32) -> DataFrame:
     """(by, c_index, pairs): over pairs of time_i < time_j with an event at i, 1 for a higher risk of i, 1/2 for a tie.
 
-    Subjects are summed by (time, risk) and times are cut into buckets. Pairs in one bucket are compared; across buckets
-    a count by bucket and risk, running over the risks, stands for all later buckets.
+    Subjects are summed by (time, risk), and times are numbered in order. Numbers are read as digits to a base of `buckets`: two
+    times part at one digit, below the same higher digits. There a count by digit and risk, running over the risks,
+    stands for all times of later digits, so each subject takes part in fewer than `buckets` counts for each digit and
+    no two subjects are ever compared.
     """
     by = by or []
     cells = subjects.groupBy(*by, "time", "risk").agg(F.sum("event").alias("d"), F.count("*").alias("n"))
-    cuts = cells.agg(F.percentile_approx("time", F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), 10_000)).first()[0] or []
-    bucket = F.size(F.filter(F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]), lambda c: c < F.col("time"))) if cuts else F.lit(0)
-    cells = cells.withColumn("bucket", bucket)
-    own = ["time", "risk", "d", "n"]
-    i, j = (cells.select(*by, "bucket", *(F.col(c).alias(f"{c}_{s}") for c in own)) for s in "ij")
-    near = i.where("d_i > 0").join(j, [*by, "bucket"]).where("time_i < time_j")
-    weight = F.col("d_i") * F.col("n_j")
-    right = F.when(F.col("risk_i") > F.col("risk_j"), 1.0).when(F.col("risk_i") == F.col("risk_j"), 0.5).otherwise(0.0)
-    near = near.groupBy(*by).agg(F.sum(weight).alias("pairs"), F.sum(weight * right).alias("score"))
+    times = running(cells.select("time").distinct(), "time", {"place": (F.lit(1), "sum")})
+    most = times.agg(F.max("place")).first()[0] or 1
+    digits = 1
+    while buckets**digits < most:
+        digits += 1
+    base = F.lit(buckets).cast("long")
+    cells = cells.join(times.withColumn("place", (F.col("place") - 1).cast("long")), "time").withColumn("digit", F.explode(F.sequence(F.lit(0), F.lit(digits - 1))))
+    unit = F.element_at(F.array(*(F.lit(buckets**i).cast("long") for i in range(digits))), F.col("digit") + 1)
+    low = F.floor(F.col("place") / unit)
+    at = ["digit", "above", "of"]
+    cells = cells.withColumns({"bucket": low % base, "above": F.floor(low / base)})
     # every later bucket, once per earlier one: buckets are a fixed few
-    later = cells.groupBy(*by, "bucket", "risk").agg(F.sum("n").alias("n")).withColumn("of", F.explode(F.sequence(F.lit(0), F.greatest(F.col("bucket") - 1, F.lit(0))))).where("of < bucket")
-    events = cells.where("d > 0").groupBy(*by, F.col("bucket").alias("of"), "risk").agg(F.sum("d").alias("d"))
-    rows = later.groupBy(*by, "of", "risk").agg(F.sum("n").alias("n")).join(events, [*by, "of", "risk"], "full").na.fill(0, ["n", "d"])
-    up = Window.partitionBy(*by, "of").orderBy("risk").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumns({"below": F.coalesce(F.sum("n").over(up), F.lit(0)), "all": F.sum("n").over(Window.partitionBy(*by, "of"))})
-    far = rows.groupBy(*by).agg(F.sum(F.col("d") * F.col("all")).alias("pairs"), F.sum(F.col("d") * (F.col("below") + F.col("n") / 2.0)).alias("score"))
-    sums = near.unionByName(far).groupBy(*by).agg(F.coalesce(F.sum("pairs"), F.lit(0)).cast("long").alias("pairs"), F.coalesce(F.sum("score"), F.lit(0.0)).alias("score"))
+    later = cells.groupBy(*by, "digit", "above", "bucket", "risk").agg(F.sum("n").alias("n")).where("bucket > 0")
+    later = later.withColumn("of", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bucket") - 1)))
+    events = cells.where("d > 0").groupBy(*by, "digit", "above", F.col("bucket").alias("of"), "risk").agg(F.sum("d").alias("d"))
+    rows = later.groupBy(*by, *at, "risk").agg(F.sum("n").alias("n")).join(events, [*by, *at, "risk"], "full").na.fill(0, ["n", "d"])
+    up = Window.partitionBy(*by, *at).orderBy("risk").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({"below": F.coalesce(F.sum("n").over(up), F.lit(0)), "all": F.sum("n").over(Window.partitionBy(*by, *at))})
+    sums = rows.groupBy(*by).agg(F.coalesce(F.sum(F.col("d") * F.col("all")), F.lit(0)).cast("long").alias("pairs"), F.coalesce(F.sum(F.col("d") * (F.col("below") + F.col("n") / 2.0)), F.lit(0.0)).alias("score"))
     return sums.select(*by, _ratio(F.col("score"), F.col("pairs")).alias("c_index"), "pairs")
 
 
@@ -184,14 +196,13 @@ def concordance_curve(subjects: DataFrame, most: int = 12) -> DataFrame:
 
 def _censoring_at(subjects: DataFrame, floor: float) -> DataFrame:
     """(time, g): survival of the censoring distribution at each distinct time, its own censorings included."""
-    up = Window.orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
-    table = life_table(subjects)
-    return table.select("time", F.greatest(F.product(1 - F.col("c") / F.col("at_risk")).over(up), F.lit(floor)).alias("g"))
+    table = running(life_table(subjects), "time", {"g": (1 - F.col("c") / F.col("at_risk"), "product")})
+    return table.select("time", F.greatest("g", F.lit(floor)).alias("g"))
 
 
 def time_dependent_auc(subjects: DataFrame, most: int = 12, floor: float = 1e-6) -> DataFrame:
     """(tau, auc): cases had an event by tau, controls lived beyond it; a case weighs 1/G(time), G the censoring survival."""
-    weighted = subjects.join(F.broadcast(_censoring_at(subjects, floor)), "time")
+    weighted = subjects.join(_censoring_at(subjects, floor), "time")
     rows = weighted.join(F.broadcast(event_times(subjects, most)))
     case, control = (F.col("time") <= F.col("tau")) & (F.col("event") == 1), F.col("time") > F.col("tau")
     sums = rows.groupBy("tau", "risk").agg(F.sum(F.when(case, 1 / F.col("g")).otherwise(0.0)).alias("w"), F.sum(F.when(control, 1).otherwise(0)).alias("n"))
@@ -200,11 +211,20 @@ def time_dependent_auc(subjects: DataFrame, most: int = 12, floor: float = 1e-6)
     return sums.groupBy("tau").agg(_ratio(F.sum(F.col("w") * (F.col("below") + F.col("n") / 2.0)), F.sum("w") * F.sum("n")).alias("auc"))
 
 
+def _last_step(steps: DataFrame, taus: DataFrame, value: str, before: float) -> DataFrame:
+    """(tau, value): the value of the last step (time, value) not after each tau, or what holds before all steps.
+
+    taus are evaluation times, a few; they are what is broadcast, and the steps stay where they are.
+    """
+    met = steps.join(F.broadcast(taus), F.col("time") <= F.col("tau")).groupBy("tau").agg(F.max_by(value, "time").alias(value))
+    return taus.join(met, "tau", "left").select("tau", F.coalesce(value, F.lit(before)).alias(value))
+
+
 def brier_curve(estimates: DataFrame, subjects: DataFrame, floor: float = 1e-6) -> DataFrame:
     """(tau, brier) by inverse probability of censoring. estimates: id, tau, survival."""
     steps = _censoring_at(subjects, floor)
-    at_tau = estimates.select("tau").distinct().join(F.broadcast(steps.withColumnRenamed("time", "t")), F.col("t") <= F.col("tau"), "left").groupBy("tau").agg(F.coalesce(F.max_by("g", "t"), F.lit(1.0)).alias("g_tau"))
-    rows = estimates.join(subjects, "id").join(F.broadcast(steps), "time").join(F.broadcast(at_tau), "tau")
+    at_tau = _last_step(steps, estimates.select("tau").distinct(), "g", 1.0).withColumnRenamed("g", "g_tau")
+    rows = estimates.join(subjects, "id").join(steps, "time").join(F.broadcast(at_tau), "tau")
     gone = (F.col("time") <= F.col("tau")) & (F.col("event") == 1)
     loss = F.when(gone, F.col("survival") ** 2 / F.col("g")).when(F.col("time") > F.col("tau"), (1 - F.col("survival")) ** 2 / F.col("g_tau")).otherwise(0.0)
     return rows.groupBy("tau").agg(F.avg(loss).alias("brier"))
@@ -213,22 +233,20 @@ def brier_curve(estimates: DataFrame, subjects: DataFrame, floor: float = 1e-6)
 def breslow(subjects: DataFrame) -> DataFrame:
     """(time, cumulative): Breslow's baseline hazard for the risks as log hazard ratios."""
     sums = subjects.groupBy("time").agg(F.sum("event").alias("d"), F.sum(F.exp("risk")).alias("e"))
-    down, up = Window.orderBy(F.desc("time")).rowsBetween(Window.unboundedPreceding, 0), Window.orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
-    hazard = sums.withColumn("at_risk", F.sum("e").over(down))
-    return hazard.select("time", F.sum(F.col("d") / F.col("at_risk")).over(up).alias("cumulative"))
+    hazard = running(sums, "time", {"at_risk": (F.col("e"), "sum")}, descending=True)
+    return running(hazard, "time", {"cumulative": (F.col("d") / F.col("at_risk"), "sum")}).select("time", "cumulative")
 
 
 def survival_at(subjects: DataFrame, taus: DataFrame) -> DataFrame:
     """(id, tau, survival) = exp(-H(tau) exp(risk)), H Breslow's hazard."""
-    base = taus.join(F.broadcast(breslow(subjects)), F.col("time") <= F.col("tau"), "left").groupBy("tau").agg(F.coalesce(F.max("cumulative"), F.lit(0.0)).alias("h"))
+    base = _last_step(breslow(subjects), taus, "cumulative", 0.0).withColumnRenamed("cumulative", "h")
     return subjects.select("id", "risk").join(F.broadcast(base)).select("id", "tau", F.exp(-F.col("h") * F.exp("risk")).alias("survival"))
 
 
 def cox_loss(subjects: DataFrame) -> DataFrame:
     """Mean negative log partial likelihood over events (Breslow's ties)."""
     sums = subjects.groupBy("time").agg(F.sum("event").alias("d"), F.sum(F.col("event") * F.col("risk")).alias("r"), F.sum(F.exp("risk")).alias("e"))
-    down = Window.orderBy(F.desc("time")).rowsBetween(Window.unboundedPreceding, 0)
-    rows = sums.withColumn("at_risk", F.sum("e").over(down))
+    rows = running(sums, "time", {"at_risk": (F.col("e"), "sum")}, descending=True)
     return rows.agg(_ratio(F.sum(F.col("d") * F.log("at_risk") - F.col("r")), F.sum("d")).alias("cox_loss"))
 
 
