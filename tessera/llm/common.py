@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 BATCH_ROWS, BATCH_BYTES = 512, "16m"
 #: A key of a lookup is salted if it has more than a SPREADth of the rows; so at most SPREAD keys are.
 SPREAD = 256
+#: Up to so many rows a lookup is a plain join: whatever their keys, one task holds them.
+FEW = 20_000
 
 
 def arrow_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
@@ -65,7 +67,9 @@ def lookup(left: DataFrame, right: DataFrame, on: str | list[str], rows: int, ho
     only above that share, the keys that are broadcast are SPREAD at most. counts: the keys with column times, if known.
     """
     on = [on] if isinstance(on, str) else on
-    most = max(8, -(-rows // SPREAD))
+    if rows <= FEW:
+        return left.join(right, on, how)
+    most = -(-rows // SPREAD)
     counts = left.groupBy(*on).agg(F.count("*").alias("times")) if counts is None else counts.select(*on, "times")
     parts, salt = unused(left, "parts"), unused(left, "salt")
     hot = F.broadcast(counts.where(F.col("times") > most).select(*on, F.ceil(F.col("times") / F.lit(most)).cast("int").alias(parts)))

@@ -90,7 +90,7 @@ def test_a_crowd_is_one_component(spark):
 
 @pytest.mark.parametrize("how", ["inner", "left"])
 def test_lookup_deals_out_hot_keys(spark, how):
-    left = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 50 == 1, None).otherwise(F.col("id") % 400).alias("k"), F.col("id").alias("n"))
+    left = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 50 == 1, None).otherwise(F.col("id") % 400).alias("k"), F.col("id").alias("n"))
     right = spark.range(300).select(F.col("id").cast("long").alias("k"), (F.col("id") * 2).alias("v"))
     got = common.lookup(left, right, "k", left.count(), how)
     plain = left.join(right, "k", how)
