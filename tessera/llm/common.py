@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,8 +16,8 @@ from pyspark.sql import functions as F
 BATCH_ROWS, BATCH_BYTES = 512, "16m"
 #: A key of a lookup is salted if it has more than a SPREADth of the rows; so at most SPREAD keys are.
 SPREAD = 256
-#: Up to so many rows a lookup is a plain join: whatever their keys, one task holds them.
-FEW = 20_000
+#: Up to so many rows a lookup is a plain join, and up to so many edges one task finds the components: 16 bytes each.
+FEW, FEW_EDGES = 20_000, 100_000
 
 
 def arrow_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
@@ -106,14 +109,14 @@ def components(edges: DataFrame) -> DataFrame:
     edges: long columns a, b. Returns (node, root): one row for each node that has an edge, root being the smallest node it
     reaches. In each round every node hooks to the one of itself and its neighbours that a hash of the round puts first, and
     edges are mapped to the hooks. Hashes differ from round to round, so a path of n links is done in about log2(n) rounds
-    and a group of any shape in fewer. The hooks of all rounds are then followed from the last to the first. All state stays in
-    tables in the shared folder, none on the driver. Null ends and self loops are ignored.
+    and a group of any shape in fewer. Once FEW_EDGES are left, one task joins their ends. The hooks of all rounds are then
+    followed from the last to the first. All state stays in tables in the shared folder, none on the driver. Null ends and self
+    loops are ignored.
     """
-    spark = edges.sparkSession
     ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
     edges = materialize(ordered(edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL")), "edges")
     hooks: list[DataFrame] = []
-    while n := edges.count():
+    while (n := edges.count()) > FEW_EDGES:
         sides = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         place = lambda c: F.struct(F.xxhash64(F.lit(len(hooks)), c).alias("h"), F.col(c).alias("node"))  # noqa: B023, E731
         first = sides.groupBy("a").agg(F.min(place("b")).alias("low"))
@@ -123,24 +126,45 @@ def components(edges: DataFrame) -> DataFrame:
             mapped = lookup(mapped, hooks[-1].withColumnRenamed("at", end), end, n).select(F.col("to").alias(end), other)
         last, edges = edges, materialize(ordered(mapped), "edges")
         discard(last)
+    roots = materialize(edges.repartition(1).mapInArrow(_joined, "node long, root long"), "labels")
     discard(edges)
     if not hooks:
-        return spark.createDataFrame([], "node long, root long")
-    roots = None
+        return roots
     for hook in reversed(hooks):
         found = hook.select(F.col("at").alias("node"), F.col("to").alias("root"))
-        if roots is not None:
-            further = roots.select(F.col("node").alias("root"), F.col("root").alias("end"))
-            found = lookup(found, further, "root", hook.count(), "left").select("node", F.coalesce("end", "root").alias("root"))
+        further = roots.select(F.col("node").alias("root"), F.col("root").alias("end"))
+        found = lookup(found, further, "root", hook.count(), "left").select("node", F.coalesce("end", "root").alias("root"))
         last, roots = roots, materialize(found, "labels")
         discard(hook)
-        if last is not None:
-            discard(last)
+        discard(last)
     # a component's own root hooks to itself in its last round, and the least node of the group takes its place
     least = roots.groupBy("root").agg(F.min("node").alias("least"), F.count("*").alias("times"))
     return lookup(roots, least.drop("times"), "root", roots.count(), counts=least).select("node", F.col("least").alias("root"))
 
 
+def reached(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest of the rows 0 to n - 1 that each of them reaches over the pairs i, j."""
+    low = np.arange(n)
+    while len(i):
+        least = np.minimum(low[i], low[j])
+        np.minimum.at(low, low[i], least)
+        np.minimum.at(low, low[j], least)
+        while not np.array_equal(low, up := low[low]):
+            low = up
+        open_ = low[i] != low[j]
+        i, j = i[open_], j[open_]
+    return low
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) of the edges (a, b) of one task, FEW_EDGES at most."""
+    sides = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches]
+    if sides:
+        a, b = (np.concatenate(x) for x in zip(*sides, strict=True))
+        nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[reached(len(nodes), at[: len(a)], at[len(a) :])])], names=["node", "root"])
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_batches, components, lookup, materialize, row_key, shuffle_partitions, unused
+from tessera.llm.common import arrow_batches, components, lookup, materialize, reached, row_key, shuffle_partitions, unused
 
 SEED = 42
 RADIUS = 3
@@ -129,20 +129,6 @@ def _within(planes, masks, q, w, radius):
     return q[live], w[live], ~over[live]
 
 
-def _stars(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The smallest row that each of n rows reaches over the pairs."""
-    low = np.arange(n)
-    while len(i):
-        least = np.minimum(low[i], low[j])
-        np.minimum.at(low, low[i], least)
-        np.minimum.at(low, low[j], least)
-        while not np.array_equal(low, up := low[low]):
-            low = up
-        open_ = low[i] != low[j]
-        i, j = i[open_], j[open_]
-    return low
-
-
 def _links(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by (key, a, b); the last, open group of a batch waits for the next batch."""
@@ -162,7 +148,7 @@ def _links(radius: int):
             if not cut:
                 continue
             fps = fp[:cut].view(np.uint64)
-            root = _stars(cut, *close_pairs(fps, np.cumsum(new[:cut]), radius))
+            root = reached(cut, *close_pairs(fps, np.cumsum(new[:cut]), radius))
             at = np.flatnonzero(root != np.arange(cut))
             if len(at):
                 yield pa.RecordBatch.from_arrays([pa.array(fp[at]), pa.array(fp[root[at]])], names=["a", "b"])

@@ -74,6 +74,7 @@ def test_a_path_takes_few_rounds(spark, monkeypatch):
         return materialize(df, name)
 
     monkeypatch.setattr(common, "materialize", counted)
+    monkeypatch.setattr(common, "FEW_EDGES", 0)
     n = 10_000
     edges = spark.range(n).select((F.col("id") * 7919 % (n + 1)).alias("a"), ((F.col("id") + 1) * 7919 % (n + 1)).alias("b"))
     got = common.components(edges).agg(F.count("*"), F.min("root"), F.max("root")).first()
@@ -81,7 +82,10 @@ def test_a_path_takes_few_rounds(spark, monkeypatch):
     assert rounds.count("hooks") <= 20 and rounds.count("hooks") >= math.log2(n) / 2
 
 
-def test_a_crowd_is_one_component(spark):
+@pytest.mark.parametrize("few", [0, 500, 100_000])
+def test_a_crowd_is_one_component(spark, monkeypatch, few):
+    monkeypatch.setattr(common, "FEW_EDGES", few)
+    monkeypatch.setattr(common, "FEW", few // 50)
     star = spark.range(1, 3000).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
     clique = [(a, b) for a in range(5000, 5040) for b in range(a)if b >= 5000]
     got = common.components(star.union(spark.createDataFrame(clique, "a long, b long")))
