@@ -62,15 +62,15 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def lookup(left: DataFrame, right: DataFrame, on: str | list[str], rows: int, how: str = "inner", by: list[str] | None = None, counts: DataFrame | None = None) -> DataFrame:
+def lookup(left: DataFrame, right: DataFrame, on: str | list[str], rows: int, how: str = "inner", by: list[str] | None = None, counts: DataFrame | None = None, few: int = FEW) -> DataFrame:
     """left joined (inner or left) with right, which has one row for each key; no key's rows go to one task.
 
     Rows of a null key, and of a key that has more than a SPREADth of all rows, are dealt out by a hash of the columns in by
-    (default: all of left but the key), and the key's row of right goes to each of their places. rows: how many rows left has; as a key is dealt out
+    (default: all of left but the key), and the key's row of right goes to each of their places. rows: how many rows left has (up to few: a plain join); as a key is dealt out
     only above that share, the keys that are broadcast are SPREAD at most. counts: the keys with column times, if known.
     """
     on = [on] if isinstance(on, str) else on
-    if rows <= FEW:
+    if rows <= few:
         return left.join(right, on, how)
     most = -(-rows // SPREAD)
     counts = left.groupBy(*on).agg(F.count("*").alias("times")) if counts is None else counts.select(*on, "times")
