@@ -55,7 +55,10 @@ def hshr(x: np.ndarray, xy: np.ndarray, clusters: int = 25) -> tuple[np.ndarray,
 
 
 def splice(x: np.ndarray, xy: np.ndarray, percentile: float = 25.0) -> tuple[np.ndarray, list[int]]:
-    """In tile order each tile left becomes a seed and takes all tiles left that are closer than a percentile of them."""
+    """In tile order each tile left becomes a seed and takes all tiles left that are closer than a percentile of them.
+
+    Earlier seeds count among those left: a later seed may take one into its group, which stays selected.
+    """
     open_, group, chosen = np.ones(len(x), bool), np.zeros(len(x), int), []
     for i in range(len(x)):
         if open_[i]:

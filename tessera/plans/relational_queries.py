@@ -64,13 +64,13 @@ def bag_pool(how):
 
 def attention(spark, sf_dir):
     rows = bag_rows(spark, sf_dir, "patient").withColumn("a", F.col("vec")[0].cast("double"))
-    rows = rows.withColumn("vec", F.transform(F.slice("vec", 1, 8), lambda x: x.cast("double")))
+    rows = rows.withColumn("vec", F.transform("vec", lambda x: x.cast("double")))
     return bags.attention_pooled(rows, "a").select("sample_id", "dim", F.round("mean", 6).alias("mean"), F.round("var", 6).alias("var"))
 
 
 def padded(spark, sf_dir):
-    rows = bag_rows(spark, sf_dir, "patient")
-    return bags.padded(rows.withColumn("vec", F.slice("vec", 1, 4))).select("sample_id", "position", "mask", F.round(F.col("vec")[0].cast("double"), 6).alias("v0"))
+    rows = bags.padded(bag_rows(spark, sf_dir, "patient"))
+    return rows.select("sample_id", "position", "mask", F.posexplode("vec").alias("dim", "value")).withColumn("value", F.round(F.col("value").cast("double"), 6))
 
 
 def nth_match(spark, sf_dir):
@@ -250,8 +250,8 @@ ORACLES = {
     "bag_resize_up": _resize(19),
     "bag_mean_pool": _pool("avg"),
     "bag_max_pool": _pool("max"),
-    "bag_attention_pool": with_views("annotations tiles", _BAG) + ", w AS (SELECT *, exp(vec[1]::DOUBLE - max(vec[1]::DOUBLE) OVER (PARTITION BY sample_id)) AS w FROM bag) SELECT sample_id, i - 1 AS dim, round(sum(w * vec[i]::DOUBLE) / sum(w), 6) AS mean, round(sum(w * vec[i]::DOUBLE * vec[i]::DOUBLE) / sum(w) - (sum(w * vec[i]::DOUBLE) / sum(w)) ** 2, 6) AS var FROM w, (SELECT unnest(range(1, 9)) AS i) GROUP BY ALL",
-    "bag_padded": with_views("annotations tiles", _BAG) + ", s AS (SELECT sample_id, unnest(range((SELECT max(n) FROM bag))) AS position FROM (SELECT DISTINCT sample_id FROM bag)) SELECT s.sample_id, s.position, b.vec IS NOT NULL AS mask, round(coalesce(b.vec[1]::DOUBLE, 0), 6) AS v0 FROM s LEFT JOIN bag b ON b.sample_id = s.sample_id AND b.position = s.position",
+    "bag_attention_pool": with_views("annotations tiles", _BAG) + ", w AS (SELECT *, exp(vec[1]::DOUBLE - max(vec[1]::DOUBLE) OVER (PARTITION BY sample_id)) AS w FROM bag) SELECT sample_id, i - 1 AS dim, round(sum(w * vec[i]::DOUBLE) / sum(w), 6) AS mean, round(sum(w * vec[i]::DOUBLE * vec[i]::DOUBLE) / sum(w) - (sum(w * vec[i]::DOUBLE) / sum(w)) ** 2, 6) AS var FROM w, (SELECT unnest(range(1, 65)) AS i) GROUP BY ALL",
+    "bag_padded": with_views("annotations tiles", _BAG) + ", s AS (SELECT sample_id, unnest(range((SELECT max(n) FROM bag))) AS position FROM (SELECT DISTINCT sample_id FROM bag)) SELECT s.sample_id, s.position, b.vec IS NOT NULL AS mask, i - 1 AS dim, round(coalesce(b.vec[i]::DOUBLE, 0), 6) AS value FROM s CROSS JOIN (SELECT unnest(range(1, 65)) AS i) LEFT JOIN bag b ON b.sample_id = s.sample_id AND b.position = s.position",
     "bag_output_dim": with_views("annotations") + "SELECT count(DISTINCT category) AS output_dim FROM annotations",
     "bag_entry_ids": with_views("annotations") + "SELECT patient AS sample_id, 'members_' || sha1(string_agg(slide, '||' ORDER BY slide)) AS entry_id FROM annotations GROUP BY 1",
     "tile_nth_match": with_views("tiles") + f", a AS (SELECT x0 AS x, y0 AS y, vec_id, row_number() OVER (PARTITION BY x0, y0 ORDER BY vec_id) AS n FROM tiles), b AS (SELECT x0 AS x, y0 AS y, {SIDE} + vec_id % 5 AS size, row_number() OVER (PARTITION BY x0, y0 ORDER BY vec_id) AS n FROM tiles WHERE vec_id % 3 <> 0) SELECT a.x, a.y, a.vec_id, b.size FROM a LEFT JOIN b ON a.x = b.x AND a.y = b.y AND a.n = b.n",

@@ -43,9 +43,11 @@ def bag_barcode(spark, sf_dir):
 
 
 def _prototypes(spark, sf_dir):
-    """Per slide two prototypes, even and odd tiles, with means and variances of the first four components."""
-    tiles = domain.tiles(spark, sf_dir).select("slide", (F.col("tile_idx") % 2).alias("proto"), *(F.col("vec")[i].cast("double").alias(f"v{i}") for i in range(4)))
-    stats = tiles.groupBy("slide", "proto").agg(F.array(*(F.avg(f"v{i}") for i in range(4))).alias("mean"), F.array(*(F.var_pop(f"v{i}") for i in range(4))).alias("cov"))
+    """Per slide two prototypes, even and odd tiles, with the mean and variance of every component."""
+    long = domain.tiles(spark, sf_dir).select("slide", (F.col("tile_idx") % 2).alias("proto"), F.posexplode("vec").alias("dim", "x")).withColumn("x", F.col("x").cast("double"))
+    each = long.groupBy("slide", "proto", "dim").agg(F.avg("x").alias("m"), F.var_pop("x").alias("c"))
+    whole = F.array_sort(F.collect_list(F.struct("dim", "m", "c")))
+    stats = each.groupBy("slide", "proto").agg(whole.alias("s")).select("slide", "proto", F.transform("s", lambda x: x["m"]).alias("mean"), F.transform("s", lambda x: x["c"]).alias("cov"))
     both = stats.groupBy(F.col("slide").alias("sample_id")).agg(F.array_sort(F.collect_list(F.struct("proto", "mean", "cov"))).alias("p"))
     vecs = F.concat(F.transform("p", lambda x: x["mean"]), F.transform("p", lambda x: x["cov"]))
     notes = domain.annotations(spark, sf_dir).select(F.col("slide").alias("sample_id"), "dataset", F.col("patient").alias("exclusion_key"))
@@ -237,9 +239,9 @@ ORACLES = {
     "retrieval_bag_barcode_topk": with_views("tiles annotations", _BAGS) + f"""SELECT query_id, rank, sample_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, sample_id) AS rank FROM
       (SELECT query_id, sample_id, median(d)::DOUBLE AS score FROM (SELECT q.slide AS query_id, r.slide AS sample_id, x.tile_idx, min(list_sum(list_transform(list_zip(x.b, y.b), lambda z: CAST(z[1] <> z[2] AS INT)))) AS d
         FROM annotations q JOIN annotations r ON q.dataset = 'query_ds' AND r.patient <> q.patient JOIN b x ON x.slide = q.slide JOIN b y ON y.slide = r.slide GROUP BY ALL) GROUP BY ALL)) WHERE rank <= {K}""",
-    "retrieval_pbss_topk": with_views("tiles annotations") + f""", s AS (SELECT slide, tile_idx % 2 AS proto, {', '.join(f'avg(vec[{i + 1}]::DOUBLE) AS m{i}, var_pop(vec[{i + 1}]::DOUBLE) AS c{i}' for i in range(4))} FROM tiles GROUP BY ALL),
-      d AS (SELECT a.slide AS query_id, b.slide AS sample_id, sqrt({' + '.join(f'(x.m{i} - y.m{i}) ** 2 / (x.c{i} + y.c{i} + 1e-6)' for i in range(4))}) AS d
-        FROM annotations a JOIN annotations b ON a.dataset = 'query_ds' AND a.patient <> b.patient JOIN s x ON x.slide = a.slide JOIN s y ON y.slide = b.slide AND y.proto = x.proto),
+    "retrieval_pbss_topk": with_views("tiles annotations") + f""", s AS (SELECT slide, tile_idx % 2 AS proto, i, avg(vec[i]::DOUBLE) AS m, var_pop(vec[i]::DOUBLE) AS c FROM tiles, (SELECT unnest(range(1, 65)) AS i) GROUP BY ALL),
+      d AS (SELECT a.slide AS query_id, b.slide AS sample_id, x.proto, sqrt(sum((x.m - y.m) ** 2 / (x.c + y.c + 1e-6))) AS d
+        FROM annotations a JOIN annotations b ON a.dataset = 'query_ds' AND a.patient <> b.patient JOIN s x ON x.slide = a.slide JOIN s y ON y.slide = b.slide AND y.proto = x.proto AND y.i = x.i GROUP BY ALL),
       scored AS (SELECT query_id, sample_id, -0.5 * ln(avg(exp(-(d - low) / 0.5))) + any_value(low) AS score FROM (SELECT *, min(d) OVER (PARTITION BY query_id, sample_id) AS low FROM d) GROUP BY ALL)
       SELECT query_id, rank, sample_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, sample_id) AS rank FROM scored) WHERE rank <= {K}""",
     "retrieval_retccl_entropy": with_views("tiles annotations", _UNIT, _WEIGHT, _MATCH, _ENTROPY) + "SELECT query_id, tile, round(entropy, 6) AS entropy FROM e",

@@ -117,6 +117,54 @@ def test_mixture_shares():
     assert np.allclose(share.sum(1), 1) and np.isclose(prob.sum(), 1) and (cov > 0).all()
 
 
+def test_mixture_equals_plain_loops():
+    """Moments of the rows a component holds and of tau rows of its prior, row by row."""
+    x = np.random.default_rng(1).normal(size=(300, 8))
+    start, tau, eps = x[:5], 10.0, 0.1
+    prob, mean, cov = [1 / 5] * 5, [p.copy() for p in start], [np.full(8, eps) for _ in start]
+
+    def shares():
+        rows = []
+        for row in x:
+            like = [np.log(prob[k]) + sum(-0.5 * (np.log(2 * np.pi * cov[k][d]) + (row[d] - mean[k][d]) ** 2 / cov[k][d]) for d in range(8)) for k in range(5)]
+            like = [np.exp(v - max(like)) for v in like]
+            rows.append([v / sum(like) for v in like])
+        return rows
+
+    for _ in range(10):
+        held = shares()
+        weight = [sum(r[k] for r in held) + tau for k in range(5)]
+        prob = [w / sum(weight) for w in weight]
+        first = [(sum(r[k] * row for r, row in zip(held, x, strict=True)) + tau * start[k]) / weight[k] for k in range(5)]
+        second = [(sum(r[k] * row**2 for r, row in zip(held, x, strict=True)) + tau * (start[k] ** 2 + eps)) / weight[k] for k in range(5)]
+        mean, cov = first, [np.maximum(s - m**2, 1e-8) for s, m in zip(second, first, strict=True)]
+    got = select.fit_mixture(x, start)
+    for a, b in zip(got, (prob, mean, cov, shares()), strict=True):
+        assert np.allclose(a, b)
+
+
+def test_bundle(spark):
+    rows = spark.createDataFrame([("a", 256, "e"), ("b", 256, "f"), ("c", 512, "f"), ("d", 512, "f")], "name string, px int, extractor string")
+    assert grid.one_bundle(rows, px=256, extractor="f").first().name == "b"
+    for wanted, problem in (({"px": 512}, "several"), ({"px": 1}, "no bundles")):
+        with pytest.raises(ValueError, match=problem):
+            grid.one_bundle(rows, **wanted)
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_running_totals(spark, descending):
+    rng = np.random.default_rng(3)
+    data = [(float(x), i, float(v)) for i, (x, v) in enumerate(zip(rng.integers(0, 40, 500), rng.uniform(0.5, 1, 500), strict=True))] + [(None, 500, 0.5), (None, 501, 0.25)]
+    rows = spark.createDataFrame(data, "x double, i int, v double")
+    got = {r.i: (r.s, r.p) for r in rel.running(rows, "x", {"s": (F.col("v"), "sum"), "p": (F.col("v"), "product")}, descending, ["i"]).collect()}
+    order = sorted(data, key=lambda r: ((r[0] is None) == descending, (-1 if descending else 1) * (r[0] or 0), r[1]))
+    total, product = 0.0, 1.0
+    for x, i, v in order:
+        total, product = total + v, product * v
+        assert got[i] == (pytest.approx(total), pytest.approx(product))
+    assert rel.running(rows.limit(0), "x", {"s": (F.col("v"), "sum")}).count() == 0
+
+
 def test_kaplan_meier(spark):
     def curve(rows):
         return [tuple(r) for r in tm.kaplan_meier(spark.createDataFrame(rows, "time double, event int")).orderBy("time").collect()]
