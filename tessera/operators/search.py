@@ -23,6 +23,8 @@ BAGS = 512
 MATCHES = "query_id string, tile int, kind string, label string, weight double, sample_id string, position int, similarity double"
 #: Reference tiles that may be broadcast as one key index.
 INDEX_ROWS = 2_000_000
+#: Reference bags that a task matches at once.
+MATCHED_AT_ONCE = 256
 
 
 def exclusion_key(level: str, aggregation: str = "slide"):
@@ -72,21 +74,30 @@ class Prototypes:
     def __init__(self, eps: float = 1e-6, tau: float = 0.5):
         self.eps, self.tau = eps, tau
 
-    def prepare(self, vecs: list) -> list[tuple[np.ndarray, np.ndarray]]:
+    def prepare(self, vecs: list) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Bags of equal shape together: (their numbers, means, covariances), each with a row per bag."""
         halves = [np.array(v, np.float64) for v in vecs]
-        return [(h[: len(h) // 2], np.maximum(h[len(h) // 2 :], 0.0)) for h in halves]
+        shapes: dict[tuple, list[int]] = {}
+        for i, h in enumerate(halves):
+            shapes.setdefault(h.shape, []).append(i)
+        found = []
+        for own in shapes.values():
+            both = np.stack([halves[i] for i in own])
+            half = both.shape[1] // 2
+            found.append((np.array(own), both[:, :half], np.maximum(both[:, half:], 0.0)))
+        return found
 
     def score(self, query, refs) -> np.ndarray:
-        mean, cov = query[0]
-        out = []
-        for other, spread in refs:
-            n, d = min(len(mean), len(other)), min(mean.shape[-1], other.shape[-1]) if len(mean) and len(other) else 0
-            if not n:
-                out.append(np.inf)
-                continue
-            x = np.sqrt(((mean[:n, :d] - other[:n, :d]) ** 2 / (cov[:n, :d] + spread[:n, :d] + self.eps)).sum(1))
-            out.append(-self.tau * np.log(np.mean(np.exp(-(x - x.min()) / self.tau))) + x.min())
-        return np.array(out)
+        ((_, (mean,), (cov,)),) = query
+        out = np.full(sum(len(own) for own, _, _ in refs), np.inf)
+        for own, other, spread in refs:
+            n = min(len(mean), other.shape[1])
+            if n:
+                d = min(mean.shape[-1], other.shape[-1])
+                x = np.sqrt(((mean[:n, :d] - other[:, :n, :d]) ** 2 / (cov[:n, :d] + spread[:, :n, :d] + self.eps)).sum(-1))
+                low = x.min(1)
+                out[own] = -self.tau * np.log(np.exp(-(x - low[:, None]) / self.tau).mean(1)) + low
+        return out
 
 
 def topk(queries: DataFrame, refs: DataFrame, distance, k: int = 10, chunk: int = QUERIES) -> DataFrame:
@@ -159,24 +170,44 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 def _matched(shared, weights: dict[str, float], threshold: float, top: int) -> Callable:
     def run(batches):
-        sums: dict[tuple[str, int, str | None], float] = {}
-        best: dict[tuple[str, int], list] = {}
+        names, keys, bags = zip(*shared.value, strict=True)
+        tiles, sizes = np.concatenate(bags), np.array([len(b) for b in bags])
+        owner, first = np.repeat(np.arange(len(bags)), sizes), np.cumsum(sizes) - sizes
+        sums: dict[str | None, np.ndarray] = {}
+        best = [np.empty(0, np.int64), np.empty(0), np.empty(0, object), np.empty(0, np.int32), np.empty(0, object)]  # tile, similarity, item, position, label
         for batch in batches:
-            for ref, key, label, vecs in zip(*(batch.column(c).to_pylist() for c in ("sample_id", "exclusion_key", "category", "vecs")), strict=True):
-                x = _unit(np.array(vecs, np.float64))
-                for query, own, tiles in shared.value:
-                    if ref == query or own is not None and own == key:
-                        continue
-                    similar = (tiles[:, None] * x).sum(-1)
-                    for t, r in zip(*np.nonzero(similar >= threshold), strict=True):
-                        s = float(similar[t, r])
-                        sums[query, t, label] = sums.get((query, t, label), 0.0) + (s + 1) / 2 * weights.get(label, 0.0)
-                        best[query, t] = sorted([*best.get((query, t), []), (-s, ref, int(r), label)])[:top]
-        out = [(q, t, "label", label, w, None, None, None) for (q, t, label), w in sums.items()]
-        out += [(q, t, "match", label, None, ref, r, -s) for (q, t), kept in best.items() for s, ref, r, label in kept]
+            for low in range(0, batch.num_rows, MATCHED_AT_ONCE):
+                refs, groups, labels, vecs = (batch.column(c).slice(low, MATCHED_AT_ONCE).to_pylist() for c in ("sample_id", "exclusion_key", "category", "vecs"))
+                count = np.array([len(v) for v in vecs])
+                if not count.sum():
+                    continue
+                x, of = _unit(np.array([t for v in vecs for t in v], np.float64)), np.repeat(np.arange(len(refs)), count)
+                similar = np.round(tiles @ x.T, 12)  # tiles alike score alike wherever they stand
+                t, r = np.nonzero(similar >= threshold)
+                closed = np.array([[ref == q or k is not None and k == g for ref, g in zip(refs, groups, strict=True)] for q, k in zip(names, keys, strict=True)])
+                open_ = ~closed[owner[t], of[r]]
+                t, r = t[open_], r[open_]
+                s, label = similar[t, r], np.array([*labels, None], object)[of[r]]
+                for one in set(label.tolist()):
+                    own = label == one if one is not None else np.array([v is None for v in label], bool)
+                    if one not in sums:
+                        sums[one] = np.full(len(tiles), np.nan)
+                    here = np.bincount(t[own], (s[own] + 1) / 2 * weights.get(one, 0.0), len(tiles))
+                    seen = np.bincount(t[own], minlength=len(tiles)) > 0
+                    sums[one][seen] = np.nan_to_num(sums[one][seen]) + here[seen]
+                position = (r - (np.cumsum(count) - count)[of[r]]).astype(np.int32)
+                best = [np.concatenate(v) for v in zip(best, (t, s, np.array([*refs, None], object)[of[r]], position, label), strict=True)]
+                rank = np.unique(best[2].astype(str), return_inverse=True)[1]
+                order = np.lexsort((best[3], rank, -best[1], best[0]))
+                start = np.concatenate(([True], best[0][order][1:] != best[0][order][:-1])) if len(order) else np.empty(0, bool)
+                place = np.arange(len(order)) - np.flatnonzero(start)[np.cumsum(start) - 1] if len(order) else order
+                best = [v[order][place < top] for v in best]
+        at = lambda t: (names[owner[t]], int(t - first[owner[t]]))
+        out = [(*at(t), "label", label, float(w[t]), None, None, None) for label, w in sums.items() for t in np.flatnonzero(~np.isnan(w)).tolist()]
+        out += [(*at(t), "match", label, None, ref, int(r), float(s)) for t, s, ref, r, label in zip(*(v.tolist() for v in best), strict=True)]
         types = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.float64(), pa.string(), pa.int32(), pa.float64()]
-        names = ["query_id", "tile", "kind", "label", "weight", "sample_id", "position", "similarity"]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=names)
+        names_ = ["query_id", "tile", "kind", "label", "weight", "sample_id", "position", "similarity"]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=names_)
 
     return run
 
