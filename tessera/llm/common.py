@@ -62,16 +62,25 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def lookup(left: DataFrame, right: DataFrame, on: str | list[str], rows: int, how: str = "inner", by: list[str] | None = None, counts: DataFrame | None = None, few: int = FEW) -> DataFrame:
+def lookup(left: DataFrame, right: DataFrame, on: str | list[str], rows: int, how: str = "inner", by: list[str] | None = None, counts: DataFrame | None = None, few: int = FEW, pick: Column | None = None) -> DataFrame:
     """left joined (inner or left) with right, which has one row for each key; no key's rows go to one task.
 
     Rows of a null key, and of a key that has more than a SPREADth of all rows, are dealt out by a hash of the columns in by
     (default: all of left but the key), and the key's row of right goes to each of their places. rows: how many rows left has (up to few: a plain join); as a key is dealt out
-    only above that share, the keys that are broadcast are SPREAD at most. counts: the keys with column times, if known.
+    only above that share, the keys that are broadcast are SPREAD at most. counts: the keys with column times, if known. pick: where right
+    may have several rows for a key, the one with the smallest pick counts; they are picked where they are joined, with no shuffle
+    of their own.
     """
     on = [on] if isinstance(on, str) else on
+
+    def single(side: DataFrame, keys: list[str]) -> DataFrame:
+        if pick is None:
+            return side
+        rest = [c for c in side.columns if c not in keys]
+        return side.groupBy(*keys).agg(F.min_by(F.struct(*rest), pick).alias("picked")).select(*keys, "picked.*")
+
     if rows <= few:
-        return left.join(right, on, how)
+        return left.join(single(right, on), on, how)
     most = -(-rows // SPREAD)
     counts = left.groupBy(*on).agg(F.count("*").alias("times")) if counts is None else counts.select(*on, "times")
     parts, salt = unused(left, "parts"), unused(left, "salt")
@@ -82,7 +91,7 @@ def lookup(left: DataFrame, right: DataFrame, on: str | list[str], rows: int, ho
     dealt = left.join(hot, on, "left").withColumn(salt, own).drop(parts)
     every = F.explode(F.sequence(F.lit(0), F.coalesce(F.col(parts), F.lit(1)) - 1))
     copied = right.join(hot, on, "left").withColumn(salt, every).drop(parts)
-    return dealt.join(copied, [*on, salt], how).drop(salt)
+    return dealt.join(single(copied, [*on, salt]), [*on, salt], how).drop(salt)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -85,9 +85,8 @@ def resolve(records: DataFrame) -> DataFrame:
     asked = materialize(asked, "revisits")
 
     used = asked.groupBy("source_id").agg(F.count("*").alias("times"))
-    sources = full.join(used, full.record_id == used.source_id, "left_semi").dropDuplicates(["record_id"])
-    sources = sources.select(F.col("record_id").alias("source_id"), F.col("status").alias("old_status"), lower_keys(F.col("headers")).alias("old"), F.col("payload").alias("old_payload"))
-    met = lookup(asked.withColumn("new", lower_keys(F.col("headers"))), sources, "source_id", asked.count(), "left", by=["record_id", "time"], counts=used)
+    sources = full.select(F.col("record_id").alias("source_id"), F.col("status").alias("old_status"), lower_keys(F.col("headers")).alias("old"), F.col("payload").alias("old_payload"))
+    met = lookup(asked.withColumn("new", lower_keys(F.col("headers"))), sources, "source_id", asked.count(), "left", by=["record_id", "time"], counts=used, few=0, pick=F.xxhash64("old_payload", "old_status"))
     tag, date = F.col("new")["etag"], F.col("new")["last-modified"]
     same = F.when(tag.isNotNull(), weak(tag).eqNullSafe(weak(F.col("old")["etag"]))).otherwise(F.trim(date).eqNullSafe(F.trim(F.col("old")["last-modified"])))
     outcome = (
