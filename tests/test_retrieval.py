@@ -103,3 +103,29 @@ def test_neighbours(spark):
     keys = spark.createDataFrame([(k,) for k in (3, 9, 4, 40, 41)], "key long")
     got = {r.key: (r.predecessor, r.successor) for r in search.neighbours(keys, spark.createDataFrame([(1,), (4,), (10,), (41,), (99,)], "key long")).collect()}
     assert got == {1: (None, 3), 4: (3, 9), 10: (9, 40), 41: (40, None), 99: (41, None)}
+
+
+def test_probes_equal_plain_walks():
+    """Walks from every seed to both sides, key by key, against a plain list of all keys."""
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        entries = [(int(k), f"s{i % 9}", f"p{i % 4}", f"l{i % 3}", rng.integers(0, 2, 12).astype(bool)) for i, k in enumerate(rng.integers(0, 60, 40))]
+        key, bits, group = int(rng.integers(0, 60)), rng.integers(0, 2, 12).astype(bool), [None, "p1"][int(rng.integers(0, 2))]
+        interval, fanout, steps, threshold = 7, int(rng.integers(1, 4)), int(rng.integers(1, 9)), int(rng.integers(2, 7))
+        seen, found = [], []
+        for sign in (-1, 1):
+            for n in range(fanout):
+                seed = key + sign * n * interval
+                for walk in (sorted({e[0] for e in entries if e[0] < seed}, reverse=True), sorted({e[0] for e in entries if e[0] > seed})):
+                    taken = 0
+                    for at in walk:
+                        if taken == steps or at in seen:
+                            break
+                        here = [(sum(bool(x) != bool(y) for x, y in zip(e[4], bits, strict=True)), i, e) for i, e in enumerate(entries) if e[0] == at and (group is None or e[2] != group)]
+                        if here:
+                            far, _, nearest = min(here, key=lambda x: x[:2])
+                            taken += 1
+                            if far <= threshold:
+                                seen.append(at)
+                                found.append((far, nearest[1], nearest[3]))
+        assert search.KeyIndex(entries).probe(key, bits, group, interval, fanout, steps, threshold) == found
