@@ -105,11 +105,11 @@ def parameters(cls: type) -> dict[str, Parameter]:
 
 
 def _fill() -> None:
-    from tessera.operators import retrieval_metrics, search, select
+    from tessera.operators import keyed, retrieval_metrics, search, select
 
     for name, strategy in select.REGISTRY.items():
         representations.register(name, strategy)
-    for name, strategy in (("yottixel", search.Barcodes), ("pbss", search.Prototypes), ("cosine", search.Cosine), ("retccl", search.retccl), ("sish", search.sish)):
+    for name, strategy in (("yottixel", search.Barcodes), ("pbss", search.Prototypes), ("cosine", search.Cosine), ("retccl", search.retccl), ("sish", keyed.sish)):
         searches.register(name, strategy)
     for name in ("hit", "precision", "map", "mmv", "macro_f1"):
         metrics.metric(f"{name}_at_{{k}}", "slide-retrieval")(getattr(retrieval_metrics, f"{name}_at_k"))

@@ -7,7 +7,6 @@ smaller reference id. An item is excluded when the query has an exclusion key an
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,8 +20,6 @@ QUERIES = 4096
 #: Query bags in one broadcast chunk of tile matching.
 BAGS = 512
 MATCHES = "query_id string, tile int, kind string, label string, weight double, sample_id string, position int, similarity double"
-#: Reference tiles that may be broadcast as one key index.
-INDEX_ROWS = 2_000_000
 #: Reference bags that a task matches at once.
 MATCHED_AT_ONCE = 256
 
@@ -264,97 +261,3 @@ def neighbours(keys: DataFrame, probes: DataFrame) -> DataFrame:
     up, down = (Window.partitionBy("bucket").orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in ("key", F.desc("key")))
     both = both.withColumns({"low": F.max(known).over(up), "high": F.min(known).over(down)})
     return both.where("asked = 0").join(F.broadcast(ends), "bucket").select("key", F.coalesce("low", "before").alias("predecessor"), F.coalesce("high", "after").alias("successor"))
-
-
-class KeyIndex:
-    """Tile entries by integer key, in key order; a walk goes from key to key and looks at the entries that are allowed."""
-
-    def __init__(self, entries: list[tuple[int, str, str | None, str, np.ndarray]]):
-        self.at: dict[int, list] = {}
-        for key, sample, group, label, bits in entries:
-            self.at.setdefault(key, []).append((sample, group, label, bits))
-        self.keys = np.array(sorted(self.at), np.int64)
-
-    def probe(self, key: int, bits: np.ndarray, group: str | None, interval: int, fanout: int, steps: int, threshold: int) -> list[tuple[int, str, str]]:
-        """Entries (distance, sample, label) near the seeds key -/+ i * interval, at most one per key, in order of discovery."""
-        seen, found = set(), []
-        for seed in [key - i * interval for i in range(fanout)] + [key + i * interval for i in range(fanout)]:
-            for way in (-1, 1):
-                i = int(np.searchsorted(self.keys, seed)) - 1 if way < 0 else int(np.searchsorted(self.keys, seed, side="right"))
-                taken = 0
-                while taken < steps and 0 <= i < len(self.keys) and self.keys[i] not in seen:
-                    open_ = [e for e in self.at[int(self.keys[i])] if group is None or e[1] != group]
-                    if open_:
-                        far = [int(np.count_nonzero(e[3] != bits)) for e in open_]
-                        low = far.index(min(far))
-                        if far[low] <= threshold:
-                            seen.add(self.keys[i])
-                            found.append((far[low], open_[low][0], open_[low][2]))
-                        taken += 1
-                    i += way
-        return found
-
-
-def clean(bags: list[list[tuple[int, str, str]]], weights: dict[str, float], k: int) -> list[tuple[str, float]]:
-    """Slides from the tiles' result bags: certain tiles first, outliers by size and distance dropped, dissent removed."""
-    rows = []
-    for number, bag in enumerate(bags):
-        if bag:
-            share: dict[str, float] = {}
-            for i, (_, _, label) in enumerate(bag):
-                share[label] = share.get(label, 0.0) + weights[label] / (i + 1)
-            total = sum(share.values())
-            share = {x: v / total for x, v in share.items()}
-            near = sorted(d for d, _, _ in bag)[:5]
-            rows.append((number, -sum(v * np.log2(v) for v in share.values()), float(np.mean(near)), len(bag), share))
-    sizes = [r[3] for r in rows]
-    if len(set(sizes)) > 3:
-        low, high = np.percentile(sizes, [5, 95])
-        rows = [r for r in rows if low < r[3] < high]
-    if not rows:
-        return []
-    limit = float(np.mean([r[2] for r in rows]))
-    rows = sorted((r for r in rows if r[2] <= limit), key=lambda r: r[1])
-    votes: Counter = Counter()
-    for r in rows[:5]:
-        votes.update(r[4])
-    removed: set[int] = set()
-    for vote, _ in sorted(votes.items(), key=lambda x: -x[1]):
-        removed = {r[0] for r in rows[:5] if max(r[4], key=r[4].get) != vote}
-        if len(removed) < len(rows[:5]):
-            break
-    kept, seen = [], set()
-    for number, entropy, _, _, _ in rows:
-        for d, sample, _ in bags[number]:
-            if entropy == 0.0 or d <= limit and sample not in seen:
-                kept.append((entropy, d, number, sample))
-                seen.add(sample)
-    kept = [x for x in sorted(kept, key=lambda x: x[:2]) if x[2] not in removed]
-    return [(sample, float(d)) for _, d, _, sample in kept[:k]]
-
-
-def sish(queries: DataFrame, refs: DataFrame, k: int = 10, interval: int = 50 * 10**11, fanout: int = 10, steps: int = 375, threshold: int = 512) -> DataFrame:
-    """hits(query_id, rank, sample_id, score) by key probing.
-
-    Both sides: sample_id, exclusion_key, category, key, bits (array of booleans), a row per tile, and vec_idx. The key
-    index is broadcast; more than INDEX_ROWS tiles are an error, as a walk may cross any number of keys.
-    """
-    n = refs.count()
-    if n > INDEX_ROWS:
-        raise ValueError(f"{n} reference tiles; a key index holds {INDEX_ROWS} at most")
-    rows = refs.orderBy("sample_id", "vec_idx").select("key", "sample_id", "exclusion_key", "category", "bits").collect()
-    shared = queries.sparkSession.sparkContext.broadcast(KeyIndex([(r[0], r[1], r[2], str(r[3]), np.array(r[4], bool)) for r in rows]))
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        index = shared.value
-        group = group.sort_values("vec_idx")
-        own = group.exclusion_key.iloc[0]
-        own = own if isinstance(own, str) else None
-        counts = Counter(e[2] for at in index.at.values() for e in at if own is None or e[1] != own)
-        inverse = sum(1 / c for c in counts.values())
-        weights = {label: k / inverse / c for label, c in counts.items()}
-        bags = [sorted(index.probe(int(key), np.array(bits, bool), own, interval, fanout, steps, threshold), key=lambda x: x[0]) for key, bits in zip(group.key, group.bits, strict=True)]
-        hits = clean(bags, weights, k)
-        return pd.DataFrame({"query_id": group.sample_id.iloc[0], "rank": range(1, len(hits) + 1), "sample_id": [h[0] for h in hits], "score": [h[1] for h in hits]}, columns=["query_id", "rank", "sample_id", "score"])
-
-    return queries.groupBy("sample_id").applyInPandas(run, "query_id string, rank int, sample_id string, score double")

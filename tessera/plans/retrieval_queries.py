@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera import scratch
 from tessera.operators import retrieval_metrics as metrics
-from tessera.operators import search
+from tessera.operators import keyed, search
 from tessera.plans import domain
 from tessera.plans.domain import with_views
 
@@ -74,7 +74,7 @@ def _keyed(spark, sf_dir):
 
 
 def sish(spark, sf_dir):
-    return search.sish(*_keyed(spark, sf_dir), interval=10**11, threshold=30)
+    return keyed.sish(*_keyed(spark, sf_dir), interval=10**11, threshold=30)
 
 
 def asof_neighbours(spark, sf_dir):

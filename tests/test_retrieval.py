@@ -3,10 +3,11 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import retrieval_metrics as metrics
-from tessera.operators import search
+from tessera.operators import keyed, search
 
 
 def _frames(spark, queries, hits):
@@ -95,7 +96,7 @@ def test_sish(spark):
     bits = lambda s: [c == "1" for c in s]
     rows = [("query", "p", "t", 20, 0, bits("1111")), ("same", "p", "t", 19, 0, bits("1111")), ("slide-a", "a", "t", 19, 0, bits("1111")), ("slide-b", "b", "t", 21, 0, bits("1110"))]
     items = spark.createDataFrame(rows, "sample_id string, exclusion_key string, category string, key long, vec_idx int, bits array<boolean>")
-    hits = search.sish(items.where("sample_id = 'query'"), items, fanout=1, steps=1, threshold=8).orderBy("rank").collect()
+    hits = keyed.sish(items.where("sample_id = 'query'"), items, fanout=1, steps=1, threshold=8).orderBy("rank").collect()
     assert [(h.sample_id, h.score) for h in hits] == [("slide-a", 0.0), ("slide-b", 1.0)]
 
 
@@ -105,27 +106,50 @@ def test_neighbours(spark):
     assert got == {1: (None, 3), 4: (3, 9), 10: (9, 40), 41: (40, None), 99: (41, None)}
 
 
-def test_probes_equal_plain_walks():
-    """Walks from every seed to both sides, key by key, against a plain list of all keys."""
-    rng = np.random.default_rng(5)
-    for _ in range(60):
-        entries = [(int(k), f"s{i % 9}", f"p{i % 4}", f"l{i % 3}", rng.integers(0, 2, 12).astype(bool)) for i, k in enumerate(rng.integers(0, 60, 40))]
-        key, bits, group = int(rng.integers(0, 60)), rng.integers(0, 2, 12).astype(bool), [None, "p1"][int(rng.integers(0, 2))]
-        interval, fanout, steps, threshold = 7, int(rng.integers(1, 4)), int(rng.integers(1, 9)), int(rng.integers(2, 7))
-        seen, found = [], []
-        for sign in (-1, 1):
-            for n in range(fanout):
-                seed = key + sign * n * interval
-                for walk in (sorted({e[0] for e in entries if e[0] < seed}, reverse=True), sorted({e[0] for e in entries if e[0] > seed})):
-                    taken = 0
-                    for at in walk:
-                        if taken == steps or at in seen:
-                            break
-                        here = [(sum(bool(x) != bool(y) for x, y in zip(e[4], bits, strict=True)), i, e) for i, e in enumerate(entries) if e[0] == at and (group is None or e[2] != group)]
-                        if here:
-                            far, _, nearest = min(here, key=lambda x: x[:2])
-                            taken += 1
-                            if far <= threshold:
-                                seen.append(at)
-                                found.append((far, nearest[1], nearest[3]))
-        assert search.KeyIndex(entries).probe(key, bits, group, interval, fanout, steps, threshold) == found
+def _plain_walks(entries, key, bits, group, interval, fanout, steps, threshold):
+    """Walks from every seed to both sides, key by key, over a list of all (key, sample, group, label, bits)."""
+    seen, found = [], []
+    for sign in (-1, 1):
+        for n in range(fanout):
+            seed = key + sign * n * interval
+            for walk in (sorted({e[0] for e in entries if e[0] < seed}, reverse=True), sorted({e[0] for e in entries if e[0] > seed})):
+                taken = 0
+                for at in walk:
+                    if taken == steps or at in seen:
+                        break
+                    here = [(sum(x != y for x, y in zip(e[4], bits, strict=True)), i, e) for i, e in enumerate(entries) if e[0] == at and (group is None or e[2] != group)]
+                    if here:
+                        far, _, nearest = min(here, key=lambda x: x[:2])
+                        taken += 1
+                        if far <= threshold:
+                            seen.append(at)
+                            found.append((far, nearest[1], nearest[3]))
+    return found
+
+
+TILE = "sample_id string, exclusion_key string, category string, key long, vec_idx int, bits array<boolean>"
+
+
+@pytest.mark.parametrize("seed, fanout, steps, threshold", [(1, 3, 4, 5), (2, 2, 1, 3), (3, 1, 60, 6), (4, 4, 9, 4)])
+def test_probes_equal_plain_walks(spark, seed, fanout, steps, threshold):
+    """Small blocks, so that walks cross them; one key holds a third of the entries, and one group runs of keys that are closed to it."""
+    rng = np.random.default_rng(seed)
+    bits = lambda: rng.integers(0, 2, 12).astype(bool).tolist()
+    refs = [(f"s{i % 9}", [f"p{i % 4}", None][i % 7 == 0], f"l{i % 3}", 77 if i % 3 == 0 else int(rng.integers(0, 200)), i, bits()) for i in range(90)]
+    refs += [("hot", "p1", "l1", k, 1000 + k, bits()) for k in range(210, 260)]
+    asked = [(f"q{i % 6}", ["p1", "p2", None][i % 3], "l0", [77, int(rng.integers(0, 300))][i % 2], i, bits()) for i in range(40)]
+    got = keyed.probed(spark.createDataFrame(asked, TILE), spark.createDataFrame(refs, TILE), 7, fanout, steps, threshold, block=4, met=8)
+    found = {r.vec_idx: [(r.hits[i].distance, r.hits[i].sample_id, r.hits[i].category) for i in keyed.replay([tuple(w) for w in r.walks], [h.no for h in r.hits])] for r in got.collect()}
+    entries = [(k, s, g, c, b) for s, g, c, k, _, b in sorted(refs, key=lambda r: (r[0], r[4]))]
+    plain = {i: _plain_walks(entries, k, b, g, 7, fanout, steps, threshold) for _, g, _, k, i, b in asked}
+    assert {i: f for i, f in found.items() if f} == {i: f for i, f in plain.items() if f}
+    assert any(found.values())
+
+
+def test_probes_of_nothing(spark):
+    row = [("a", None, None, 5, 0, [True, False]), ("b", "p", "t", None, 1, [True, True]), ("c", "p", "t", 5, 2, None)]
+    rows, none = spark.createDataFrame(row, TILE), spark.createDataFrame([], TILE)
+    for queries, refs in ((rows, none), (none, rows), (none, none)):
+        assert keyed.sish(queries, refs, fanout=1, steps=1, threshold=2).count() == 0
+    twice = rows.unionByName(rows.withColumn("key", F.col("key") + 1))
+    assert {(h.query_id, h.sample_id) for h in keyed.sish(twice, twice, fanout=1, steps=1, threshold=2).collect()} == {("a", "a")}
