@@ -26,7 +26,10 @@ HITS = "query_id string, rank int, sample_id string, score double"
 
 
 def clean(bags: list[list[tuple[int, str, str]]], weights: dict[str, float], k: int) -> list[tuple[str, float]]:
-    """Slides from the tiles' result bags: certain tiles first, outliers by size and distance dropped, dissent removed."""
+    """Slides from the tiles' result bags: certain tiles first, outliers by size and distance dropped, dissent removed.
+
+    Entropies, means and votes that are equal to nine decimals are equal.
+    """
     rows = []
     for number, bag in enumerate(bags):
         if bag:
@@ -36,21 +39,21 @@ def clean(bags: list[list[tuple[int, str, str]]], weights: dict[str, float], k:
             total = sum(share.values())
             share = {x: v / total for x, v in share.items()}
             near = sorted(d for d, _, _ in bag)[:5]
-            rows.append((number, -sum(v * np.log2(v) for v in share.values()), float(np.mean(near)), len(bag), share))
+            rows.append((number, round(-sum(v * np.log2(v) for v in share.values()), 9), round(float(np.mean(near)), 9), len(bag), share))
     sizes = [r[3] for r in rows]
     if len(set(sizes)) > 3:
         low, high = np.percentile(sizes, [5, 95])
         rows = [r for r in rows if low < r[3] < high]
     if not rows:
         return []
-    limit = float(np.mean([r[2] for r in rows]))
+    limit = round(float(np.mean([r[2] for r in rows])), 9)
     rows = sorted((r for r in rows if r[2] <= limit), key=lambda r: r[1])
     votes: Counter = Counter()
     for r in rows[:5]:
         votes.update(r[4])
     removed: set[int] = set()
-    for vote, _ in sorted(votes.items(), key=lambda x: -x[1]):
-        removed = {r[0] for r in rows[:5] if max(r[4], key=r[4].get) != vote}
+    for vote, _ in sorted(votes.items(), key=lambda x: -round(x[1], 9)):
+        removed = {r[0] for r in rows[:5] if max(r[4], key=lambda x: round(r[4][x], 9)) != vote}
         if len(removed) < len(rows[:5]):
             break
     kept, seen = [], set()
@@ -64,12 +67,16 @@ def clean(bags: list[list[tuple[int, str, str]]], weights: dict[str, float], k:
 
 
 def _dealt(rows: DataFrame, table: DataFrame, *on: str) -> DataFrame:
-    """rows inner joined to table, which has a row per key; the keys of more than a 256th of the rows, so 256 at most, are broadcast."""
-    sizes = rows.groupBy(*on).count()
+    """rows inner joined to table, which has a row per key; the keys of more than a 256th of the rows, so 255 at most, are broadcast.
+
+    100,000 rows are few enough for one task and are joined as they are.
+    """
     n = rows.count()
-    hot = scratch.written(sizes.where(F.col("count") > max(n / 256, 1000)).drop("count"), "hot")
-    plain = rows.join(F.broadcast(hot), list(on), "left_anti").join(table, list(on))
-    return plain.unionByName(rows.join(F.broadcast(table.join(F.broadcast(hot), list(on))), list(on)))
+    hot = rows.groupBy(*on).count().where(F.col("count") > n / 256).drop("count").collect() if n > 100_000 else []
+    if not hot:
+        return rows.join(table, list(on))
+    hot = F.broadcast(rows.sparkSession.createDataFrame(hot, rows.select(*on).schema))
+    return rows.join(hot, list(on), "left_anti").join(table, list(on)).unionByName(rows.join(F.broadcast(table.join(hot, list(on))), list(on)))
 
 
 def _below(points: DataFrame, asks: DataFrame, width: int) -> DataFrame:

@@ -235,6 +235,33 @@ named AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, til
 ordered AS (SELECT n.*, row_number() OVER (PARTITION BY query_id ORDER BY entropy DESC, tile) AS o FROM named n JOIN e USING (query_id, tile)),
 firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, sample_id ORDER BY o) AS f FROM ordered) WHERE f = 1)"""
 
+#: Key probing: the walks of a tile one by one, each cut at the first key that an earlier one found; then the cleaning of its bags.
+_SISH = f"""keyed AS (SELECT slide, tile_idx, category, patient, dataset, list_transform(vec, lambda x: x > 0) AS bits,
+    floor((vec[1] + 1) * 10)::BIGINT * {10**11} + floor((vec[2] + 1) * 10)::BIGINT * {10**6} + floor((vec[3] + 1) * 10)::BIGINT AS key FROM tiles JOIN annotations USING (slide)),
+asked AS (SELECT * FROM keyed WHERE dataset = 'query_ds'),
+far AS (SELECT q.slide AS query_id, q.tile_idx AS tile, r.key, list_sum(list_transform(list_zip(q.bits, r.bits), lambda z: CAST(z[1] <> z[2] AS INT))) AS d, r.slide, r.tile_idx, r.category FROM asked q JOIN keyed r ON r.patient <> q.patient),
+near AS (SELECT query_id, tile, key, b.d AS d, b.slide AS sample_id, b.category AS label FROM (SELECT query_id, tile, key, min({{'d': d, 'slide': slide, 'tile': tile_idx, 'category': category}}) AS b FROM far GROUP BY ALL)),
+seeds AS (SELECT slide AS query_id, tile_idx AS tile, 2 * n + w AS walk, w, CASE WHEN n < 10 THEN key - n * {10**11} ELSE key + (n - 10) * {10**11} END AS seed FROM asked, (SELECT unnest(range(20)) AS n), (SELECT unnest(range(2)) AS w)),
+steps AS (SELECT *, row_number() OVER (PARTITION BY query_id, tile, walk ORDER BY abs(key - seed)) AS step FROM seeds JOIN near USING (query_id, tile) WHERE CASE WHEN w = 0 THEN key < seed ELSE key > seed END),
+walks AS (SELECT query_id, tile, walk, list(key ORDER BY step) AS keys FROM steps WHERE step <= 375 AND d <= 30 GROUP BY ALL),
+replayed AS (SELECT slide AS query_id, tile_idx AS tile, 0 AS walk, []::BIGINT[] AS found FROM asked
+    UNION ALL SELECT r.query_id, r.tile, r.walk + 1, CASE WHEN k.keys IS NULL THEN found ELSE list_concat(found, k.keys[1:coalesce(nullif(list_position(list_transform(k.keys, lambda x: list_contains(found, x)), true), 0), len(k.keys) + 1) - 1]) END
+    FROM replayed r LEFT JOIN walks k ON k.query_id = r.query_id AND k.tile = r.tile AND k.walk = r.walk WHERE r.walk < 40),
+bags AS (SELECT *, row_number() OVER (PARTITION BY query_id, tile ORDER BY d, place) AS i FROM (SELECT query_id, tile, unnest(found) AS key, generate_subscripts(found, 1) AS place FROM replayed WHERE walk = 40) JOIN near USING (query_id, tile, key)),
+counts AS (SELECT q.slide AS query_id, r.category AS label, count(*) AS n FROM (SELECT DISTINCT slide, patient FROM asked) q JOIN keyed r ON r.patient <> q.patient GROUP BY ALL),
+weights AS (SELECT query_id, label, 10 / sum(1.0 / n) OVER (PARTITION BY query_id) / n AS weight FROM counts),
+shares AS (SELECT *, v / sum(v) OVER (PARTITION BY query_id, tile) AS p FROM (SELECT query_id, tile, label, min(i) AS first, sum(weight / i) AS v FROM bags JOIN weights USING (query_id, label) GROUP BY ALL)),
+sure AS (SELECT query_id, tile, round(-sum(p * log2(p)), 9) AS entropy, arg_max(label, (round(p, 9), -first)) AS top FROM shares GROUP BY ALL),
+sized AS (SELECT query_id, tile, count(*) AS size, round(avg(d) FILTER (WHERE i <= 5), 9) AS mean FROM bags GROUP BY ALL),
+whole AS (SELECT query_id, count(DISTINCT size) AS sizes, quantile_cont(size, 0.05) AS low, quantile_cont(size, 0.95) AS high FROM sized GROUP BY ALL),
+fit AS (SELECT s.*, entropy, top, round(avg(mean) OVER (PARTITION BY query_id), 9) AS most FROM sized s JOIN sure USING (query_id, tile) JOIN whole USING (query_id) WHERE sizes <= 3 OR size > low AND size < high),
+rows_ AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY entropy, tile) AS o FROM fit WHERE mean <= most),
+votes AS (SELECT query_id, label, round(sum(p), 9) AS v, min((o, first)) AS first FROM rows_ JOIN shares USING (query_id, tile) WHERE o <= 5 GROUP BY ALL),
+won AS (SELECT query_id, arg_min(label, (-v, first)) AS vote FROM votes v WHERE EXISTS (SELECT 1 FROM rows_ r WHERE r.query_id = v.query_id AND r.o <= 5 AND r.top = v.label) GROUP BY ALL),
+taken AS (SELECT r.query_id, r.o, b.i, r.entropy, b.d, b.sample_id, r.o <= 5 AND r.top <> vote AS dissents, r.entropy = 0 AS sure,
+    row_number() OVER (PARTITION BY r.query_id, b.sample_id ORDER BY r.o, b.i) AS nth FROM rows_ r JOIN bags b USING (query_id, tile) JOIN won USING (query_id) WHERE r.entropy = 0 OR b.d <= r.most),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY entropy, d, o, i) AS rank FROM taken WHERE (sure OR nth = 1) AND NOT dissents)"""
+
 ORACLES = {
     "retrieval_topk_cosine": with_views("items") + f"SELECT query_id, rank, sample_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, sample_id) AS rank FROM (SELECT q.sample_id AS query_id, r.sample_id, list_cosine_similarity(q.vec, r.vec) AS score FROM items q JOIN items r ON q.is_query AND r.patient <> q.patient)) WHERE rank <= {K}",
     **{name: with_views("items", _hits(level)) + "SELECT query_id, rank, sample_id, score FROM hits" for name, level in (("retrieval_barcode_topk", "patient"), ("retrieval_exclusion_none", "none"), ("retrieval_exclusion_slide", "slide"))},
@@ -248,6 +275,7 @@ ORACLES = {
       SELECT query_id, rank, sample_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, sample_id) AS rank FROM scored) WHERE rank <= {K}""",
     "retrieval_retccl_entropy": with_views("tiles annotations", _UNIT, _WEIGHT, _MATCH, _ENTROPY) + "SELECT query_id, tile, round(entropy, 6) AS entropy FROM e",
     "retrieval_retccl_topk": with_views("tiles annotations", _UNIT, _WEIGHT, _MATCH, _ENTROPY, _RETCCL) + "SELECT query_id, rank, sample_id, round(mean, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY mean DESC, o) AS rank FROM firsts) WHERE rank <= 5",
+    "retrieval_sish_topk": with_views("tiles annotations", _SISH).replace("WITH", "WITH RECURSIVE", 1) + f"SELECT query_id, rank, sample_id, d::DOUBLE AS score FROM ranked WHERE rank <= {K}",
     "retrieval_asof_neighbours": "WITH k AS (SELECT DISTINCT event_id AS key FROM events WHERE event_type = 'purchase'), q AS (SELECT DISTINCT event_id AS key FROM events WHERE event_type <> 'view') SELECT q.key, p.key AS predecessor, s.key AS successor FROM q ASOF LEFT JOIN k p ON q.key > p.key ASOF LEFT JOIN k s ON q.key < s.key",
     "retrieval_class_weights": with_views("annotations") + "SELECT category AS label, round(10.0 / n / sum(1.0 / n) OVER (), 9) AS weight FROM (SELECT category, count(*) AS n FROM annotations GROUP BY 1)",
     **{f"metric_{n}_at_5": _metric_sql(n) for n in _PER_QUERY},
