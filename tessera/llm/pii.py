@@ -81,7 +81,10 @@ def in_order(spans) -> list[Span]:
 LOOKALIKES = dict(zip("АВЕКМНОРСТХУІЅЈаеорсухіѕјԁһԛԝΑΒΕΖΗΙΚΜΝΟΡΤΥΧοανιρ", "ABEKMHOPCTXYISJaeopcyxisjdhqwABEZHIKMNOPTYXoavip", strict=True))
 PUNCTUATION = {"。": ".", "․": ".", "‐": "-", "‑": "-", "‒": "-", "–": "-", "—": "-", "−": "-", " ": " ", " ": " ", " ": " ", "﹫": "@", "﹒": "."}
 #: Last labels that a domain in spaced words must have to count.
-ENDINGS = frozenset("com net org edu gov mil info biz io co ai app dev eu us uk de fr es it nl be ch at pl se no fi dk pt ie ru cn jp kr in br mx ca au nz me tv".split())
+ENDINGS = frozenset(
+    "com net org edu gov mil info biz io co ai app dev eu us uk de fr es it nl be ch at pl se no fi dk pt ie ru cn jp kr in br mx ca au nz me tv"
+    " xyz online site store shop tech cloud ar za gr cz hu ro ua tr il hk sg tw th vn id ph pk bd ng ke eg ma sa ae cl pe ve uy ec cr ee lv lt si sk hr bg rs kz lu mt cy li".split()
+)
 INVISIBLE = "­​‌‍⁠﻿"
 DIGIT_WORDS = {
     "zero": 0, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9,
@@ -120,8 +123,8 @@ BRACKETED = re.compile(r"[\[({<][ \t]{0,3}(?:at|dot|@|\.)[ \t]{0,3}[\])}>]", re.
 AT = re.compile(r"[ \t]{0,3}[\[({<][ \t]{0,3}(?:at|@)[ \t]{0,3}[\])}>][ \t]{0,3}", re.I)
 DOT = re.compile(r"[ \t]{0,3}[\[({<][ \t]{0,3}(?:dot|\.)[ \t]{0,3}[\])}>][ \t]{0,3}", re.I)
 DOT_WORD = re.compile(r"(?<=[A-Za-z0-9])[ \t]{1,3}dot[ \t]{1,3}(?=[A-Za-z0-9])", re.I)
-#: A spaced "at" counts where a disguised domain follows it.
-AT_WORD = re.compile(r"(?<=[A-Za-z0-9])[ \t]{1,3}at[ \t]{1,3}(?=[A-Za-z0-9-]+\x00)", re.I)
+#: A spaced "at" counts where a domain with a disguised dot follows it; dots before that one may be plain.
+AT_WORD = re.compile(r"(?<=[A-Za-z0-9])[ \t]{1,3}at[ \t]{1,3}(?=[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+\x00)", re.I)
 
 
 class Rewritten:
@@ -195,12 +198,12 @@ def disguised_spans(text: str) -> list[Span]:
         new.spell()
     if marks:
         new.replace(AT, lambda m: "@")
-        # dots in disguise stay marked (NUL) until the spaced "at" before them has been seen
-        hidden = "\x00" not in new.text
-        new.replace(DOT, lambda m: "\x00" if hidden else ".")
-        new.replace(DOT_WORD, lambda m: "\x00" if hidden else ".")
+        # dots in disguise stay marked (NUL) until the spaced "at" before them has been seen; the text's own NULs, in no identifier, make way
+        new.text = new.text.replace("\x00", "\x01")
+        new.replace(DOT, lambda m: "\x00")
+        new.replace(DOT_WORD, lambda m: "\x00")
         new.replace(AT_WORD, lambda m: "@")
-        new.text = new.text.replace("\x00", ".") if hidden else new.text
+        new.text = new.text.replace("\x00", ".")
     found = []
     for s, e, kind in plain_spans(new.text):
         if any(new.changed[s : e - 1]) or new.changed[e - 1] == 1:

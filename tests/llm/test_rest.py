@@ -40,6 +40,9 @@ def test_plain_spans(spark, sf_dir):
     ("text", "found", "kind"),
     [
         ("mail john dot smith at mail dot example dot com now", "john dot smith at mail dot example dot com", "email"),
+        ("mail john at mail.example dot com now", "john at mail.example dot com", "email"),
+        ("escribe a ana at correo dot com dot ar hoy", "ana at correo dot com dot ar", "email"),
+        ("nul \x00 and bob at corp dot com", "bob at corp dot com", "email"),
         ("x john(at)example.com", "john(at)example.com", "email"),
         ("x john [at] example [dot] net!", "john [at] example [dot] net", "email"),
         ("jоhn@exаmple.com", "jоhn@exаmple.com", "email"),
