@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Memory, arrow_batches
+from tessera.llm.common import Memory, arrow_batches, uncollected
 
 #: White space as the pattern's \\s has it (Unicode White_Space), for cutting a text before the pattern proper.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -220,6 +220,7 @@ class Vocabulary:
             (spaced if len(piece) <= REMEMBERED_CHARS and plain(piece) else long)[piece] = ids
         return long
 
+    @uncollected()
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers.
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
@@ -178,6 +180,18 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
+@contextmanager
+def uncollected() -> Iterator[None]:
+    """The cyclic collector waits meanwhile: very many small lists, none in a cycle, would start it again and again."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 class Memory:
     """A bounded map in two generations: what was used since the last turn survives the next one."""
 
