@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Memory, arrow_batches, materialize, shuffle_partitions
+from tessera.llm.common import Memory, arrow_batches, materialize, shuffle_partitions, uncollected
 
 CONTEXT = 2048
 END_ID = 0
@@ -91,6 +91,7 @@ class ChunkTokenizer:
             ids = (words[word] if word in words else once[word]) + (words[tail] if tail in words else once[tail])
             (self.chunks.new if len(chunk) <= REMEMBERED_BYTES else long)[chunk] = ids
 
+    @uncollected()
     def batch(self, texts: list[str | None]) -> list[bytes]:
         self.chunks.turn()
         self.words.turn()
