@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tessera import scratch
 from tessera.operators.relational import running
 
-#: Keys in one block.
+#: Keys in one block at most; where keys have many entries, a block has fewer keys, so that it holds about MET entries.
 BLOCK = 1024
 #: Entries, and query tiles, of a block that meet in one task; a block with more is cut.
 MET = 2048
@@ -168,6 +168,9 @@ def probed(queries: DataFrame, refs: DataFrame, interval: int, fanout: int, step
     numbers = scratch.written(running(both, "key", {"upto": (F.col("known"), "sum")}), "numbers")
     index = scratch.written(known.join(numbers.where("known = 1"), "key").select("key", "entries", "g", "last", (F.col("upto") - 1).alias("no")), "index")
     total = index.count()
+    # a part of a block tells its nearest entry of every key, so a block of many entries and keys would tell each key once per part
+    held = index.agg(F.sum("entries")).first()[0] or 0
+    block = max(1, min(block, met * total // max(held, 1)))
     closed = index.where("g = last AND g <> ''").select("g", F.col("no").alias("at")).join(asked.select("g").distinct(), "g", "left_semi")
     closed = scratch.written(closed, "closed")
     walks = scratch.written(_walks(asked.select("key", "g"), numbers, closed, total, interval, fanout, steps), "walks")

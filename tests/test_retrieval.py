@@ -146,6 +146,29 @@ def test_probes_equal_plain_walks(spark, seed, fanout, steps, threshold):
     assert any(found.values())
 
 
+def test_full_keys_are_told_once_per_tile(spark, monkeypatch):
+    """Many entries on few keys: what leaves the comparisons is about a row for each tile and key, not one for each part as well."""
+    rng = np.random.default_rng(5)
+    bits = lambda: rng.integers(0, 2, 12).astype(bool).tolist()
+    refs = [(f"s{i}", None, "l", i % 20, 0, bits()) for i in range(4000)]
+    told, compare = spark.sparkContext.accumulator(0), keyed._compare
+
+    def counted(threshold):
+        run = compare(threshold)
+
+        def counting(tiles, entries):
+            found = run(tiles, entries)
+            told.add(len(found))
+            return found
+
+        return counting
+
+    monkeypatch.setattr(keyed, "_compare", counted)
+    rows = keyed.probed(spark.createDataFrame(refs[:50], TILE), spark.createDataFrame(refs, TILE), 1, 1, 30, 12, met=200).collect()
+    assert len(rows) == 50 and {len(r.hits) for r in rows} == {19}  # a walk leaves out its own key
+    assert told.value <= 3 * 50 * 20
+
+
 def test_probes_of_nothing(spark):
     row = [("a", None, None, 5, 0, [True, False]), ("b", "p", "t", None, 1, [True, True]), ("c", "p", "t", 5, 2, None)]
     rows, none = spark.createDataFrame(row, TILE), spark.createDataFrame([], TILE)
