@@ -206,6 +206,14 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     return _clustered(fps, radius).select("doc_id", digits.alias("fingerprint"), F.col("lowest").alias("component_id"))
 
 
+def grouped(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = RADIUS) -> DataFrame:
+    """(doc_id, k1, k2, fp, root, lowest) for each row of df: its row key, its fingerprint, and those of its component."""
+    k1, k2 = row_key(doc_id, text)
+    fps = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), k1.alias("k1"), k2.alias("k2"))
+    fps = materialize(with_fingerprint(fps, out="fp", shingle=shingle).drop("text"), "fingerprints")
+    return _clustered(fps, radius)
+
+
 def keep_first(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = RADIUS) -> DataFrame:
     """The rows of df that are first in their component, with all their columns.
 
@@ -213,10 +221,8 @@ def keep_first(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingl
     rows equal in id and text one stays.
     """
     k1, k2 = row_key(doc_id, text)
-    fps = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), k1.alias("k1"), k2.alias("k2"))
-    fps = materialize(with_fingerprint(fps, out="fp", shingle=shingle).drop("text"), "fingerprints")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")
-    first = _clustered(fps, radius).groupBy("root").agg(F.min(order).alias("first"))
+    first = grouped(df, doc_id, text, shingle, radius).groupBy("root").agg(F.min(order).alias("first"))
     x, y = unused(df, "kept_k1"), unused(df, "kept_k2")
     kept = first.select(F.col("first.k1").alias(x), F.col("first.k2").alias(y))
     marked = df.withColumns({x: k1, y: k2}).join(kept, [x, y], "left_semi")

@@ -88,3 +88,17 @@ def test_fine_bitmaps_bound_the_difference():
             exact = len(np.setxor1d(a, b))
             assert far <= exact and (exact - far) % 2 == 0
             assert far >= 0.3 * exact
+
+
+def test_stage_follows_links_of_simhash_too(spark):
+    """Fingerprints count repeats, sets don't: 1 and 2 are linked by SimHash alone, 2 and 3 by their sets alone."""
+    import corpus_pipeline
+    from tessera.llm import simhash
+
+    own = lambda c, n: " ".join(f"{c}{i}" for i in range(n))
+    one, two = ("a b c " * 400 + own(c, 40) for c in "xy")
+    rows = [(1, one), (2, two), (3, "a b c " * 3 + own("y", 40)), (4, own("z", 50))]
+    far = [(simhash.fingerprint(rows[i][1]) ^ simhash.fingerprint(rows[j][1])).bit_count() for i, j in ((0, 1), (1, 2))]
+    assert far[0] <= simhash.RADIUS < far[1] and brute_kept(rows) == [1, 2, 4]
+    docs = spark.createDataFrame([(i, t, "en", "x", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    assert sorted(r.doc_id for r in corpus_pipeline.dedup_documents(spark, docs, "").collect()) == [1, 4]
