@@ -12,16 +12,22 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera import scratch
+
 #: Queries in one broadcast chunk.
 QUERIES = 4096
 #: Query bags in one broadcast chunk of tile matching.
-BAGS = 512
+BAGS = 2048
 MATCHES = "query_id string, tile int, kind string, label string, weight double, sample_id string, position int, similarity double"
 #: Reference bags that a task matches at once.
 MATCHED_AT_ONCE = 256
+#: Reference bags in one partition at most, and similarities that are worked on at once.
+REFERENCES, TILES_AT_ONCE = 1 << 15, 1 << 19
+PACKED = "ids array<string>, keys array<string>, labels array<string>, sizes array<int>, vecs binary"
 
 
 def exclusion_key(level: str, aggregation: str = "slide"):
@@ -149,14 +155,22 @@ def tile_matches(queries: DataFrame, refs: DataFrame, weights: dict[str, float],
     """For each query tile the matches of cosine >= threshold: (query_id, tile, label, weight) sums and the top matches.
 
     queries and refs: sample_id, exclusion_key, category, vecs. Returns query_id, tile, kind ("label" or "match"), label,
-    weight, sample_id, position, similarity. Only the top matches of a task leave it; the weights leave it summed.
+    weight, sample_id, position, similarity. Only the top matches of a task leave it; the weights leave it summed. References are
+    packed once into few partitions, so that what leaves the tasks doesn't grow with the number of files.
     """
-    parts = max(1, -(-queries.count() // chunk))
+    spark = queries.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")  # a packed block is a wide row
+    bags = scratch.written(queries.select("sample_id", "exclusion_key", "vecs"), "querybags")
+    parts = max(1, -(-bags.count() // chunk))
+    most = 2 * spark.sparkContext.defaultParallelism
+    split = max(1, -(-most // parts), -(-refs.count() // REFERENCES))
+    packed = refs.select("sample_id", "exclusion_key", "category", "vecs").repartition(split).mapInArrow(_packed, PACKED)
+    packed = scratch.written(packed, "references")
     found = None
     for number in range(parts):
-        rows = queries.where(F.pmod(F.xxhash64("sample_id"), F.lit(parts)) == number).select("sample_id", "exclusion_key", "vecs").collect()
-        shared = queries.sparkSession.sparkContext.broadcast([(r.sample_id, r.exclusion_key, _unit(np.array(r.vecs, np.float64))) for r in rows])
-        part = refs.select("sample_id", "exclusion_key", "category", "vecs").mapInArrow(_matched(shared, weights, threshold, top), MATCHES)
+        rows = bags.where(F.pmod(F.xxhash64("sample_id"), F.lit(parts)) == number).collect()
+        shared = spark.sparkContext.broadcast([(r.sample_id, r.exclusion_key, _unit(np.array(r.vecs, np.float64))) for r in rows])
+        part = packed.mapInArrow(_matched(shared, weights, threshold, top), MATCHES)
         found = part if found is None else found.unionByName(part)
     return found
 
@@ -165,46 +179,91 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / (np.sqrt((x**2).sum(-1, keepdims=True)) + 1e-12)
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of MATCHED_AT_ONCE bags in the order of their labels; their unit vectors are the bytes of one matrix."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, MATCHED_AT_ONCE):
+            part = pa.Table.from_batches([batch.slice(low, MATCHED_AT_ONCE)]).sort_by([("category", "ascending")]).combine_chunks()
+            ids, keys, labels, vecs = (part.column(c).combine_chunks() for c in ("sample_id", "exclusion_key", "category", "vecs"))
+            sizes = pc.list_value_length(vecs).fill_null(0).to_numpy(zero_copy_only=False)
+            flat = np.asarray(vecs.flatten().flatten().to_numpy(zero_copy_only=False), np.float64)
+            if sizes.sum():
+                x = _unit(flat.reshape(int(sizes.sum()), -1))
+                columns = [pa.array([v], t) for v, t in ((ids.to_pylist(), pa.list_(pa.string())), (keys.to_pylist(), pa.list_(pa.string())), (labels.to_pylist(), pa.list_(pa.string())), (sizes.tolist(), pa.list_(pa.int32())), (x.tobytes(), pa.binary()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["ids", "keys", "labels", "sizes", "vecs"])
+
+
 def _matched(shared, weights: dict[str, float], threshold: float, top: int) -> Callable:
+    """Similarities are rounded to 12 decimals, so that tiles alike score alike wherever they stand."""
+    cut = (np.ceil(np.round(threshold * 1e12, 3)) - 0.5) / 1e12  # what rounds to the threshold or more
+
     def run(batches):
+        if not shared.value:
+            return
         names, keys, bags = zip(*shared.value, strict=True)
         tiles, sizes = np.concatenate(bags), np.array([len(b) for b in bags])
         owner, first = np.repeat(np.arange(len(bags)), sizes), np.cumsum(sizes) - sizes
+        of_name, of_key = ({} for _ in range(2))
+        for i, (name, key) in enumerate(zip(names, keys, strict=True)):
+            of_name.setdefault(name, []).append(i)
+            if key is not None:
+                of_key.setdefault(key, []).append(i)
         sums: dict[str | None, np.ndarray] = {}
+        floor = np.full(len(tiles), cut)  # what a further match must have to be among the top
         best = [np.empty(0, np.int64), np.empty(0), np.empty(0, object), np.empty(0, np.int32), np.empty(0, object)]  # tile, similarity, item, position, label
         for batch in batches:
-            for low in range(0, batch.num_rows, MATCHED_AT_ONCE):
-                refs, groups, labels, vecs = (batch.column(c).slice(low, MATCHED_AT_ONCE).to_pylist() for c in ("sample_id", "exclusion_key", "category", "vecs"))
-                count = np.array([len(v) for v in vecs])
-                if not count.sum():
-                    continue
-                x, of = _unit(np.array([t for v in vecs for t in v], np.float64)), np.repeat(np.arange(len(refs)), count)
-                similar = np.round(tiles @ x.T, 12)  # tiles alike score alike wherever they stand
-                t, r = np.nonzero(similar >= threshold)
-                closed = np.array([[ref == q or k is not None and k == g for ref, g in zip(refs, groups, strict=True)] for q, k in zip(names, keys, strict=True)])
-                open_ = ~closed[owner[t], of[r]]
-                t, r = t[open_], r[open_]
-                s, label = similar[t, r], np.array([*labels, None], object)[of[r]]
-                for one in set(label.tolist()):
-                    own = label == one if one is not None else np.array([v is None for v in label], bool)
-                    if one not in sums:
-                        sums[one] = np.full(len(tiles), np.nan)
-                    here = np.bincount(t[own], (s[own] + 1) / 2 * weights.get(one, 0.0), len(tiles))
-                    seen = np.bincount(t[own], minlength=len(tiles)) > 0
-                    sums[one][seen] = np.nan_to_num(sums[one][seen]) + here[seen]
-                position = (r - (np.cumsum(count) - count)[of[r]]).astype(np.int32)
-                best = [np.concatenate(v) for v in zip(best, (t, s, np.array([*refs, None], object)[of[r]], position, label), strict=True)]
+            for row in range(batch.num_rows):
+                refs, groups, labels, count = (batch.column(c)[row].as_py() for c in ("ids", "keys", "labels", "sizes"))
+                count = np.array(count)
+                x = np.frombuffer(batch.column("vecs")[row].as_py(), np.float64).reshape(count.sum(), -1)
+                of, ends = np.repeat(np.arange(len(refs)), count), np.cumsum(count)
+                closed = [(ref, q) for ref, (name, key) in enumerate(zip(refs, groups, strict=True)) for q in {*of_name.get(name, ()), *of_key.get(key, ())}]
+                tile_label = np.array([*labels, None], object)[of]
+                runs = np.flatnonzero(np.concatenate(([True], tile_label[1:] != tile_label[:-1])))
+                new = []
+                for label in tile_label[runs]:
+                    sums.setdefault(label, np.full(len(tiles), np.nan))
+                at_once = max(1, TILES_AT_ONCE // len(x))
+                barred = sorted((int(first[q]), int(sizes[q]), int(ends[ref] - count[ref]), int(ends[ref])) for ref, q in closed)
+                for low in range(0, len(tiles), at_once):
+                    high = min(low + at_once, len(tiles))
+                    raw = tiles[low:high] @ x.T
+                    raw[np.isnan(raw)] = -np.inf
+                    for start, size, left, right in barred:
+                        if start < high and start + size > low:
+                            raw[max(0, start - low) : max(0, start + size - low), left:right] = -np.inf
+                    if raw.shape[1] > top and (floor[low:high] == cut).all():
+                        floor[low:high] = np.maximum(cut, np.partition(raw, -top, axis=1)[:, -top] - 1e-12)
+                    t, r = np.nonzero(raw >= floor[low:high, None])
+                    new.append((t + low, np.round(raw[t, r], 12), r))
+                    open_ = raw >= cut
+                    raw += 1
+                    raw *= 0.5
+                    raw[~open_] = 0.0
+                    here = np.add.reduceat(raw, runs, axis=1)
+                    seen = np.logical_or.reduceat(open_, runs, axis=1)
+                    for k, label in enumerate(tile_label[runs]):
+                        own, add = sums[label][low:high], seen[:, k]
+                        own[add] = np.nan_to_num(own[add]) + here[add, k] * weights.get(label, 0.0)
+                t, s, r = (np.concatenate(v) for v in zip(*new, strict=True))
+                position = (r - (ends - count)[of[r]]).astype(np.int32)
+                best = [np.concatenate(v) for v in zip(best, (t, s, np.array([*refs, None], object)[of[r]], position, tile_label[r]), strict=True)]
                 rank = np.unique(best[2].astype(str), return_inverse=True)[1]
                 order = np.lexsort((best[3], rank, -best[1], best[0]))
                 start = np.concatenate(([True], best[0][order][1:] != best[0][order][:-1])) if len(order) else np.empty(0, bool)
                 place = np.arange(len(order)) - np.flatnonzero(start)[np.cumsum(start) - 1] if len(order) else order
                 best = [v[order][place < top] for v in best]
-        at = lambda t: (names[owner[t]], int(t - first[owner[t]]))
-        out = [(*at(t), "label", label, float(w[t]), None, None, None) for label, w in sums.items() for t in np.flatnonzero(~np.isnan(w)).tolist()]
-        out += [(*at(t), "match", label, None, ref, int(r), float(s)) for t, s, ref, r, label in zip(*(v.tolist() for v in best), strict=True)]
+                last = np.flatnonzero(place[place < top] == top - 1)
+                floor[best[0][last]] = np.maximum(cut, best[1][last] - 1e-12)
+        ids, told = np.array([*names, None], object), []
+        for label, w in sums.items():
+            t = np.flatnonzero(~np.isnan(w))
+            told.append((t, "label", np.full(len(t), label, object), w[t], None, None, None))
+        told.append((best[0], "match", best[4], None, best[2], best[3], best[1]))
         types = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.float64(), pa.string(), pa.int32(), pa.float64()]
-        names_ = ["query_id", "tile", "kind", "label", "weight", "sample_id", "position", "similarity"]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=names_)
+        for t, kind, *rest in told:
+            columns = [ids[owner[t]], (t - first[owner[t]]).astype(np.int32), np.full(len(t), kind, object), *rest]
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(t), o) if c is None else pa.array(c, o) for c, o in zip(columns, types, strict=True)], names=["query_id", "tile", "kind", "label", "weight", "sample_id", "position", "similarity"])
 
     return run
 

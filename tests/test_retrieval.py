@@ -146,6 +146,40 @@ def test_probes_equal_plain_walks(spark, seed, fanout, steps, threshold):
     assert any(found.values())
 
 
+def _random_bags(spark, n, parts):
+    rng = np.random.default_rng(9)
+    rows = [(f"s{i:03}", [f"p{i % 7}", None][i % 5 == 0], [f"l{i % 3}", None][i % 11 == 0], rng.normal(0, 1, (1 + i % 4, 6)).round(1).tolist()) for i in range(n)]
+    return rows, spark.createDataFrame(rows, "sample_id string, exclusion_key string, category string, vecs array<array<double>>").repartition(parts)
+
+
+def test_tile_matches_equal_plain_loops_over_many_partitions(spark, monkeypatch):
+    """Blocks and chunks are small; what leaves the tasks doesn't grow with the partitions of the references."""
+    monkeypatch.setattr(search, "MATCHED_AT_ONCE", 4)
+    monkeypatch.setattr(search, "TILES_AT_ONCE", 50)
+    rows, refs = _random_bags(spark, 120, 100)
+    weights = {"l0": 1.0, "l1": 2.0, "l2": 0.0}
+    got = search.tile_matches(refs.where("sample_id < 's020'"), refs, weights, 0.3, 3, chunk=12).collect()
+    unit = {r[0]: np.array(r[3]) / np.linalg.norm(np.array(r[3]), axis=1, keepdims=True) for r in rows}
+    pairs = {}
+    for q in rows[:20]:
+        for t, x in enumerate(unit[q[0]]):
+            met = [(round(float(x @ y), 12), r[0], i, r[2]) for r in rows if r[0] != q[0] and (q[1] is None or r[1] != q[1]) for i, y in enumerate(unit[r[0]])]
+            pairs[q[0], t] = [m for m in met if m[0] >= 0.3]
+    best, sums = {}, {}
+    for r in got:
+        if r.kind == "match":
+            best.setdefault((r.query_id, r.tile), []).append((-round(r.similarity, 9), r.sample_id, r.position, r.label))
+        else:
+            sums[r.query_id, r.tile, r.label] = sums.get((r.query_id, r.tile, r.label), 0.0) + r.weight
+    assert {k: sorted(v, key=lambda x: x[:3])[:3] for k, v in best.items()} == {k: sorted(((-round(s, 9), n, i, x) for s, n, i, x in v), key=lambda x: x[:3])[:3] for k, v in pairs.items() if v}
+    plain = {}
+    for (q, t), met in pairs.items():
+        for s, _, _, label in met:
+            plain[q, t, label] = plain.get((q, t, label), 0.0) + (s + 1) / 2 * weights.get(label, 0.0)
+    assert sums.keys() == plain.keys() and all(math.isclose(sums[k], v, abs_tol=1e-9) for k, v in plain.items())
+    assert len(got) <= len(pairs) * 7 * 2 * spark.sparkContext.defaultParallelism
+
+
 def test_full_keys_are_told_once_per_tile(spark, monkeypatch):
     """Many entries on few keys: what leaves the comparisons is about a row for each tile and key, not one for each part as well."""
     rng = np.random.default_rng(5)
