@@ -282,7 +282,7 @@ def retccl(queries: DataFrame, refs: DataFrame, k: int = 5, threshold: float = 0
     the query drop out; each other tile names the slide of its first match with its most common label.
     """
     weights = {r.label: r.weight for r in class_weights(refs, factor=factor).collect()}  # one row per label
-    matches = tile_matches(queries, refs, weights, threshold, top)
+    matches = scratch.written(tile_matches(queries, refs, weights, threshold, top), "matches")  # read for the matches and for the labels
     own = F.row_number().over(Window.partitionBy("query_id", "tile").orderBy(F.desc("similarity"), "sample_id", "position"))
     best = matches.where("kind = 'match'").withColumn("own", own).where(F.col("own") <= top)
     means = best.groupBy("query_id", "tile").agg(F.avg("similarity").alias("mean"), F.array_sort(F.collect_list(F.struct("own", "label", "sample_id"))).alias("top"))

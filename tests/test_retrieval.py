@@ -180,6 +180,26 @@ def test_tile_matches_equal_plain_loops_over_many_partitions(spark, monkeypatch)
     assert len(got) <= len(pairs) * 7 * 2 * spark.sparkContext.defaultParallelism
 
 
+def test_retccl_matches_once(spark, monkeypatch):
+    """Every reference meets a chunk of queries in one pass, though matches and labels are both read."""
+    told, matched = spark.sparkContext.accumulator(0), search._matched
+
+    def counted(*given):
+        run = matched(*given)
+
+        def seen(batches):
+            for batch in batches:
+                told.add(sum(len(r.get("ids") or [0]) for r in batch.to_pylist()))
+                yield batch
+
+        return lambda batches: run(seen(batches))
+
+    monkeypatch.setattr(search, "_matched", counted)
+    _, refs = _random_bags(spark, 60, 4)
+    assert search.retccl(refs.where("sample_id < 's010'"), refs, threshold=0.3).collect()
+    assert told.value == 60
+
+
 def test_full_keys_are_told_once_per_tile(spark, monkeypatch):
     """Many entries on few keys: what leaves the comparisons is about a row for each tile and key, not one for each part as well."""
     rng = np.random.default_rng(5)
