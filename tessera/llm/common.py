@@ -20,6 +20,8 @@ BATCH_ROWS, BATCH_BYTES = 512, "16m"
 SPREAD = 256
 #: Up to so many rows a lookup is a plain join, and up to so many edges one task finds the components: 16 bytes each.
 FEW, FEW_EDGES = 20_000, 100_000
+#: Files that a table is written as, for each core, and shuffle partitions that one file takes, where these make more files.
+FILES_PER_CORE, PARTITIONS_PER_FILE = 4, 8
 
 
 def arrow_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
@@ -51,12 +53,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/tessera-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    few_files(df).write.parquet(path)
     read = spark.read.schema(df.schema).parquet(path)
     read._scratch = path
     return read
 
 
+def few_files(df: DataFrame) -> DataFrame:
+    """df with fewer partitions, joined without a shuffle, if it has far more than the cores need.
+
+    Without Hadoop's native code an executor starts some three processes (chmod) for each file that it writes to a local or mounted
+    folder, and until such a process has begun, the executor's memory counts twice.
+    """
+    spark = df.sparkSession
+    return df.coalesce(max(FILES_PER_CORE * spark.sparkContext.defaultParallelism, shuffle_partitions(spark) // PARTITIONS_PER_FILE))
+
+
 def discard(df: DataFrame) -> None:
     """Delete the table of a materialized frame that no later plan reads."""
     spark = df.sparkSession

@@ -102,3 +102,16 @@ def test_stage_follows_links_of_simhash_too(spark):
     assert far[0] <= simhash.RADIUS < far[1] and brute_kept(rows) == [1, 2, 4]
     docs = spark.createDataFrame([(i, t, "en", "x", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int")
     assert sorted(r.doc_id for r in corpus_pipeline.dedup_documents(spark, docs, "").collect()) == [1, 4]
+
+
+def test_all_pairs_of_a_crowd_come_in_bounded_batches(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(jaccard, "COMPARED_AT_ONCE", 1000)
+    n, bits = 300, jaccard.bitmap(np.arange(40, dtype=np.uint64) << np.uint64(33))
+    columns = {"key": pa.array([7] * n), "a": pa.array([0] * n, pa.int32()), "b": pa.array([0] * n, pa.int32()), "node": pa.array(range(n)), "n": pa.array([40] * n, pa.int32()), "label": pa.array(range(n)), "bits": pa.array([bits] * n)}
+    batches = list(jaccard._candidates(8000, jaccard.ROUNDS - 1)(iter([pa.RecordBatch.from_pydict(columns)])))
+    assert max(b.num_rows for b in batches) < 1000 + n
+    found = [(x, y) for b in batches for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True)]
+    assert sorted(found) == [(x, y) for x in range(n) for y in range(x + 1, n)]

@@ -124,3 +124,14 @@ def test_scratch_is_refused_where_it_can_t_be_shared(monkeypatch):
 
     with pytest.raises(ValueError, match="checkpoint"):
         common.scratch_root(Session())
+
+
+def test_a_table_is_few_files(spark):
+    import os
+
+    from tessera.llm import common
+
+    most = common.FILES_PER_CORE * spark.sparkContext.defaultParallelism
+    written = common.materialize(spark.range(0, 5000, 1, 211), "many")
+    files = [f for f in os.listdir(written._scratch.removeprefix("file:")) if f.endswith(".parquet")]
+    assert len(files) <= most and sorted(r.id for r in written.collect()) == list(range(5000))
