@@ -22,6 +22,8 @@ SPREAD = 256
 FEW, FEW_EDGES = 20_000, 100_000
 #: Files that a table is written as, for each core, and shuffle partitions that one file takes, where these make more files.
 FILES_PER_CORE, PARTITIONS_PER_FILE = 4, 8
+#: With this set, Spark removes a query's shuffle files when it ends; else they stay until the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def arrow_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
@@ -50,10 +52,18 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: cuts the lineage, survives lost executors."""
+    """Write df as Parquet into the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    The shuffle files of the write go with it, as nothing reads them again.
+    """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/tessera-{name}-{uuid.uuid4().hex}"
-    few_files(df).write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        few_files(df).write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     read = spark.read.schema(df.schema).parquet(path)
     read._scratch = path
     return read

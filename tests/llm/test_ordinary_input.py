@@ -135,3 +135,18 @@ def test_a_table_is_few_files(spark):
     written = common.materialize(spark.range(0, 5000, 1, 211), "many")
     files = [f for f in os.listdir(written._scratch.removeprefix("file:")) if f.endswith(".parquet")]
     assert len(files) <= most and sorted(r.id for r in written.collect()) == list(range(5000))
+
+
+def test_shuffle_files_go_with_the_write(spark):
+    from tessera.llm import common
+
+    def kept():
+        manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        return {b.toString() for b in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(manager.getAllBlocks()) if b.toString().startswith("shuffle_")}
+
+    before = kept()
+    counted = spark.range(0, 5000, 1, 7).repartition(5, "id").groupBy((F.col("id") % 100).alias("k")).count()
+    written = common.materialize(counted, "counted")
+    assert not kept() - before
+    assert written.count() == 100 == counted.count()
+    assert spark.conf.get(common.CLEANUP) == "false"
