@@ -45,7 +45,8 @@ def warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No table has images, so one is drawn for every row of embeddings; each four ids in a row are copies."""
-    found = images.copies(images.rendered(table(spark, sf_dir, "embeddings"), "vec_id"))
+    ids = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long"))
+    found = images.copies(ids, "vec_id", "vec_id", images.rendered)
     return found.withColumnRenamed("id", "vec_id")
 
 
