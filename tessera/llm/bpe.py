@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Memory, arrow_batches, uncollected
+from tessera.llm.common import Memory, arrow_batches, kept, uncollected
 
 #: White space as the pattern's \\s has it (Unicode White_Space), for cutting a text before the pattern proper.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -259,7 +259,7 @@ class Vocabulary:
         return b"".join(map(self.tokens.__getitem__, array("I", ids)))
 
 
-_VOCABULARIES: dict[tuple[str, str], Vocabulary] = {}
+_VOCABULARIES: dict[tuple[str, str], Vocabulary] = kept({})
 
 
 def vocabulary(path: str, pattern: str) -> Vocabulary:

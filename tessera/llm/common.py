@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from functools import reduce
 
@@ -24,6 +25,9 @@ FEW, FEW_EDGES = 20_000, 100_000
 FILES_PER_CORE, PARTITIONS_PER_FILE = 4, 8
 #: With this set, Spark removes a query's shuffle files when it ends; else they stay until the driver collects its garbage.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Options of a write: in a local folder there is no checksum file beside each file, as its mode takes a process (chmod); other folders ignore them.
+PLAIN = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+_KEPT: list[dict] = []
 
 
 def arrow_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
@@ -61,7 +65,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        few_files(df).write.parquet(path)
+        few_files(df).write.options(**PLAIN).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
     read = spark.read.schema(df.schema).parquet(path)
@@ -73,7 +77,7 @@ def few_files(df: DataFrame) -> DataFrame:
     """df with fewer partitions, joined without a shuffle, if it has far more than the cores need.
 
     Without Hadoop's native code an executor starts some three processes (chmod) for each file that it writes to a local or mounted
-    folder, and until such a process has begun, the executor's memory counts twice.
+    folder, two with PLAIN, and until such a process has begun, the executor's memory counts twice.
     """
     spark = df.sparkSession
     return df.coalesce(max(FILES_PER_CORE * spark.sparkContext.defaultParallelism, shuffle_partitions(spark) // PARTITIONS_PER_FILE))
@@ -214,6 +218,39 @@ def uncollected() -> Iterator[None]:
             gc.enable()
 
 
+def kept(cache: dict) -> dict:
+    """cache, which a worker process keeps from task to task until room() empties it."""
+    _KEPT.append(cache)
+    return cache
+
+
+def room() -> None:
+    """Empty what this worker process has kept, and give its free memory back to the system.
+
+    Spark hands a worker from task to task, so one that has tokenized would hold its tokenizer and what that remembers
+    beside whatever runs next.
+    """
+    for cache in _KEPT:
+        cache.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
+def roomy(run: Callable) -> Callable:
+    """The function of a mapInArrow, with room() before and after each task."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        room()
+        try:
+            yield from run(batches)
+        finally:
+            room()
+
+    return task
+
+
 class Memory:
     """A bounded map in two generations: what was used since the last turn survives the next one."""
 

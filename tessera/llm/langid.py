@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import grams
-from tessera.llm.common import arrow_batches, materialize, unused
+from tessera.llm.common import arrow_batches, materialize, room, unused
 
 ORDER = 4
 #: Labelled texts of each language that the trees are counted on.
@@ -160,6 +160,7 @@ def fitted_limit(df: DataFrame, model: Model, doc_id: str = "doc_id", text: str
     def cost(texts):
         import pandas as pd
 
+        room()
         out = np.full(len(texts), np.nan)
         for held, n, lengths in _lengths(shared.value, texts.tolist()):
             out[held] = lengths.min(axis=1) / (n + START)
@@ -184,6 +185,7 @@ def with_language(df: DataFrame, model: Model, text: str = "text", out: str = "l
     def decided(texts):
         import pandas as pd
 
+        room()
         langs, scores = _decide(shared.value, texts.where(texts.notna(), None).tolist(), limit)
         return pd.DataFrame({out: pd.Series(langs, dtype=object), score: pd.Series(scores, dtype=float)})
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Memory, arrow_batches, materialize, shuffle_partitions, uncollected
+from tessera.llm.common import Memory, arrow_batches, kept, materialize, shuffle_partitions, uncollected
 
 CONTEXT = 2048
 END_ID = 0
@@ -114,7 +114,7 @@ class ChunkTokenizer:
         return out
 
 
-_TOKENIZERS: dict[str, ChunkTokenizer] = {}
+_TOKENIZERS: dict[str, ChunkTokenizer] = kept({})
 
 
 def tokenizer(path: str) -> ChunkTokenizer:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_batches, components, lookup, materialize, reached, row_key, shuffle_partitions, unused
+from tessera.llm.common import arrow_batches, components, lookup, materialize, reached, room, roomy, row_key, shuffle_partitions, unused
 
 SEED = 42
 RADIUS = 3
@@ -56,6 +56,7 @@ def with_fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint"
     def fingerprints(texts):
         import pandas as pd
 
+        room()
         return pd.Series(np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64))
 
     return df.withColumn(out, fingerprints(F.col(text)))
@@ -177,7 +178,7 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     met = met.select("key", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     met = met.select("key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "fp")
     met = met.repartition(parts, "key", "a", "b").sortWithinPartitions("key", "a", "b")
-    return met.mapInArrow(_links(radius), "a long, b long")
+    return met.mapInArrow(roomy(_links(radius)), "a long, b long")
 
 
 def _clustered(fps: DataFrame, radius: int) -> DataFrame:

@@ -150,3 +150,37 @@ def test_shuffle_files_go_with_the_write(spark):
     assert not kept() - before
     assert written.count() == 100 == counted.count()
     assert spark.conf.get(common.CLEANUP) == "false"
+
+
+def test_a_local_scratch_file_has_no_checksum_file(spark):
+    import os
+
+    from tessera.llm import common
+
+    written = common.materialize(spark.range(0, 5000, 1, 3), "plain")
+    names = os.listdir(written._scratch.removeprefix("file:"))
+    assert sum(n.endswith(".parquet") for n in names) == 3 and not [n for n in names if n.endswith(".crc")]
+    assert sorted(r.id for r in written.collect()) == list(range(5000))
+    common.discard(written)
+    assert not os.path.exists(written._scratch.removeprefix("file:"))
+
+
+def test_near_dedup_runs_without_the_tokenizers_of_a_worker():
+    import pandas as pd
+
+    from tessera.llm import bpe, common, jaccard, packing
+
+    def held():
+        return [name for name, kept in (("words", packing._TOKENIZERS), ("bytes", bpe._VOCABULARIES)) if "kept" in kept]
+
+    def hold():
+        packing._TOKENIZERS["kept"] = bpe._VOCABULARIES["kept"] = None
+        assert held() == ["words", "bytes"]
+
+    hold()
+    assert len(jaccard._sets(5).func(pd.Series(["a b c d e f"]))[0]) == 2 and not held()
+    hold()
+    task = common.roomy(lambda batches: ((b, held()) for b in batches))(iter([1, 2]))
+    assert next(task) == (1, [])
+    hold()
+    assert list(task) == [(2, ["words", "bytes"])] and not held()
